@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, media, mixing, packing, repetition, token_counts
+from . import jaccard, media, mixing, packing, quality, repetition, token_counts, toxicity
 from .frames import table
 
 
@@ -17,6 +17,35 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def held_out(key: str = "doc_id"):
+    """The fifth of the documents whose labels are not learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(documents, labels.where(~held_out()).select("doc_id", "toxic"), "toxic")
+
+
+def quality_model(documents: DataFrame, labels: DataFrame) -> quality.Model | None:
+    return quality.fit(documents, labels.where(~held_out() & (F.col("quality") == 1)).select("doc_id"), held_out())
+
+
+#: Scores from which a document counts as toxic, and as good.
+TOXIC, GOOD = 0.5, 0.3
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.scores(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.scores(documents, quality_model(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -43,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op5_repetition_rules, op6_jaccard_join, op8_media_columns, op9_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_best_fit_packing, op4_token_counts, op5_repetition_rules, op6_jaccard_join, op8_media_columns, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
