@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, media, mixing, packing, quality, repetition, token_counts, toxicity
+from . import jaccard, licenses, media, mixing, packing, quality, repetition, token_counts, toxicity, url_filters
 from .frames import table
 
 
@@ -62,6 +62,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_media(table(spark, sf_dir, "documents"))
 
@@ -71,8 +75,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_best_fit_packing, op4_token_counts, op5_repetition_rules, op6_jaccard_join, op8_media_columns, op9_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_best_fit_packing, op4_token_counts, op5_repetition_rules, op6_jaccard_join, op7_url_filters, op8_media_columns, op9_mixing, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
