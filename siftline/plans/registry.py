@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import dialect
+from ..operators import records, text
+from ..sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _check(spark: SparkSession, sf_dir: str, check: text.Check) -> DataFrame:
+    return text.apply(check, text.probed(table(spark, sf_dir, "documents")))
+
+
+def _record(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return dialect.run(spark, sf_dir, sql)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return queries()["tool_call_loops"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {f"text_{c.name}": partial(_check, check=c) for c in text.CHECKS}
+    return out | {name: partial(_record, sql=sql) for name, sql in records.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {f"text_{c.name}": text.oracle(c) for c in text.CHECKS}
+    for name, sql in records.QUERIES.items():
+        for spark_words, duckdb_words in records.DUCKDB_SPELLING.items():
+            sql = sql.replace(spark_words, duckdb_words)
+        out[name] = dialect.oracle(sql)
+    return out
