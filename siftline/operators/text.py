@@ -112,14 +112,14 @@ PROBES = [
 ]
 
 
-def probed(documents: DataFrame) -> DataFrame:
+def probed(documents: DataFrame, probes: list[str] = PROBES) -> DataFrame:
     """Documents with one of the probes added, in the order of keys."""
-    chosen = F.element_at(F.array(*(F.lit(p) for p in PROBES)), (F.pmod(F.col("doc_id"), F.lit(len(PROBES))) + 1).cast("int"))
+    chosen = F.element_at(F.array(*(F.lit(p) for p in probes)), (F.pmod(F.col("doc_id"), F.lit(len(probes))) + 1).cast("int"))
     return documents.select("doc_id", F.concat("text", F.lit("\n"), chosen).alias("text"))
 
 
-def probed_sql() -> str:
-    return f"SELECT doc_id, text || chr(10) || [{', '.join(map(quote, PROBES))}][doc_id % {len(PROBES)} + 1] AS text FROM documents"
+def probed_sql(probes: list[str] = PROBES) -> str:
+    return f"SELECT doc_id, text || chr(10) || [{', '.join(map(quote, probes))}][doc_id % {len(probes)} + 1] AS text FROM documents"
 
 
 def apply(check: Check, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dialect
-from ..operators import records, text
+from ..functions import rules as compiler
+from ..operators import config_rules, records, state, text
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,17 +23,33 @@ def _record(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return dialect.run(spark, sf_dir, sql)
 
 
+def _machine(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return state.fold(state.as_events(table(spark, sf_dir, "events")), state.MACHINES[name])
+
+
+#: Rules are registered twenty at a time: one pass over the documents each.
+RULE_GROUPS = {f"rules_{i // 20 + 1:02d}": config_rules.RULES[i : i + 20] for i in range(0, len(config_rules.RULES), 20)}
+
+
+def _rules(spark: SparkSession, sf_dir: str, group: list[compiler.Rule]) -> DataFrame:
+    documents = text.probed(table(spark, sf_dir, "documents"), [r.probe for r in group])
+    return compiler.scan(group, documents)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["tool_call_loops"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"text_{c.name}": partial(_check, check=c) for c in text.CHECKS}
-    return out | {name: partial(_record, sql=sql) for name, sql in records.QUERIES.items()}
+    out |= {name: partial(_record, sql=sql) for name, sql in records.QUERIES.items()}
+    out |= {name: partial(_rules, group=group) for name, group in RULE_GROUPS.items()}
+    return out | {name: partial(_machine, name=name) for name in state.MACHINES}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {f"text_{c.name}": text.oracle(c) for c in text.CHECKS}
+    out |= {name: compiler.scan_sql(group, text.probed_sql([r.probe for r in group])) for name, group in RULE_GROUPS.items()}
     for name, sql in records.QUERIES.items():
         for spark_words, duckdb_words in records.DUCKDB_SPELLING.items():
             sql = sql.replace(spark_words, duckdb_words)
