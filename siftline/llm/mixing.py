@@ -116,11 +116,10 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **op
 
     Rows that agree in key and text share their copies as evenly as can be.
     """
-    kept = df.withColumn("_order", F.xxhash64(F.col(key), F.col(text)))
+    # the row travels as one struct, whatever its columns are called
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("match"))
     mixed = mix(df, key, text, keep_order=True, **options)
-    taken = mixed.groupBy("doc_id", "_order").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnsRenamed({"doc_id": "_key", "_order": "_match"})
-    same = (kept["_order"] == taken["_match"]) & kept[key].cast("long").eqNullSafe(taken["_key"])
-    turn = F.row_number().over(Window.partitionBy("_match", "_key").orderBy("_match")) - 1
-    each = kept.join(taken, same).withColumn("_own", F.floor((F.col("_copies") + F.col("_rows") - 1 - turn) / F.col("_rows")).cast("int"))
-    repeated = each.where("_own > 0").withColumn("_own", F.explode(F.sequence(F.lit(1), F.col("_own"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in df.columns))
+    taken = mixed.groupBy(F.col("doc_id").alias("taken_key"), F.col("_order").alias("taken_match")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    turn = F.row_number().over(Window.partitionBy("taken_match", "taken_key").orderBy("taken_match")) - 1
+    each = held.join(taken, (held["match"] == taken["taken_match"]) & held["key"].eqNullSafe(taken["taken_key"])).withColumn("own", F.floor((F.col("copies") + F.col("rows") - 1 - turn) / F.col("rows")).cast("int"))
+    return each.where("own > 0").withColumn("own", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
