@@ -20,6 +20,11 @@ SPARK = {
     "REGEX_COUNT": "CAST(regexp_count({0}, {1}) AS BIGINT)",
     "REGEX_REPLACE": "regexp_replace({0}, {1}, {2})",
     "REGEX_MATCH": "regexp({0}, {1})",
+    "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
+    "EXPLODE": "explode({0})",
+    "ITEMS": "size({0})",
+    "ITEM": "element_at({0}, CAST({1} AS INT))",
+    "SEQUENCE_TO": "sequence(1, {0})",
 }
 DUCKDB = {
     "EPOCH": "CAST(floor(epoch({0})) AS BIGINT)",
@@ -27,6 +32,11 @@ DUCKDB = {
     "REGEX_COUNT": "CAST(len(regexp_extract_all({0}, {1})) AS BIGINT)",
     "REGEX_REPLACE": "regexp_replace({0}, {1}, {2}, 'g')",
     "REGEX_MATCH": "regexp_matches({0}, {1})",
+    "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
+    "EXPLODE": "unnest({0})",
+    "ITEMS": "len({0})",
+    "ITEM": "list_extract({0}, {1})",
+    "SEQUENCE_TO": "generate_series(1, {0})",
 }
 
 
@@ -69,13 +79,19 @@ def spark_quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def run(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """Run a common SQL text on the tables of a folder; nothing is registered in the session."""
+def run(spark: SparkSession, folder: str, sql: str, frames: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run a common SQL text on the tables of a folder and on ``frames``; nothing is registered in the session."""
+    frames = frames or {}
     names = set(re.findall(r"\{([a-z]+)\}", sql))
-    doubled = lambda m: spark_quote(m[0][1:-1].replace("''", "'")).replace("{", "{{").replace("}", "}}")
-    text = re.sub(r"'(?:[^']|'')*'", doubled, expand(sql, SPARK))
-    return spark.sql(text, **{n: table(spark, folder, n) for n in names})
 
+    def literal(m: re.Match) -> str:  # braces of patterns are doubled, since Spark fills names in by format()
+        return spark_quote(m[0][1:-1].replace("''", "'")).replace("{", "{{").replace("}", "}}")
 
-def oracle(sql: str) -> str:
-    return re.sub(r"\{([a-z]+)\}", r"\1", expand(sql, DUCKDB))
+    text = re.sub(r"'(?:[^']|'')*'", literal, expand(sql, SPARK))
+    return spark.sql(text, **{n: frames[n] if n in frames else table(spark, folder, n) for n in names})
+
+
+def oracle(sql: str, frames: dict[str, str] | None = None) -> str:
+    """The text for DuckDB; ``frames`` are queries."""
+    frames = frames or {}
+    return re.sub(r"\{([a-z]+)\}", lambda m: f"({frames[m[1]]})" if m[1] in frames else m[1], expand(sql, DUCKDB))

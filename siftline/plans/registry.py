@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import dialect
 from ..functions import rules as compiler
 from ..operators import config_rules, records, state, text
-from ..sources.tables import table
+from ..operators import lines as line_checks
+from ..sources.tables import lines, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,13 @@ def _record(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return dialect.run(spark, sf_dir, sql)
 
 
+def _lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return dialect.run(spark, sf_dir, sql, {"lines": lines(text.probed(table(spark, sf_dir, "documents")))})
+
+
+LINES_SQL = f"SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM ({text.probed_sql()}) probed"
+
+
 def _machine(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return state.fold(state.as_events(table(spark, sf_dir, "events")), state.MACHINES[name])
 
@@ -37,12 +45,13 @@ def _rules(spark: SparkSession, sf_dir: str, group: list[compiler.Rule]) -> Data
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["tool_call_loops"](spark, sf_dir)
+    return queries()["lines_duplicate_words"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"text_{c.name}": partial(_check, check=c) for c in text.CHECKS}
     out |= {name: partial(_record, sql=sql) for name, sql in records.QUERIES.items()}
+    out |= {name: partial(_lines, sql=sql) for name, sql in line_checks.QUERIES.items()}
     out |= {name: partial(_rules, group=group) for name, group in RULE_GROUPS.items()}
     return out | {name: partial(_machine, name=name) for name in state.MACHINES}
 
@@ -50,6 +59,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {f"text_{c.name}": text.oracle(c) for c in text.CHECKS}
     out |= {name: compiler.scan_sql(group, text.probed_sql([r.probe for r in group])) for name, group in RULE_GROUPS.items()}
+    out |= {name: dialect.oracle(sql, {"lines": LINES_SQL}) for name, sql in line_checks.QUERIES.items()}
     for name, sql in records.QUERIES.items():
         for spark_words, duckdb_words in records.DUCKDB_SPELLING.items():
             sql = sql.replace(spark_words, duckdb_words)
