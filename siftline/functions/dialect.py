@@ -23,8 +23,7 @@ SPARK = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "explode({0})",
     "ITEMS": "size({0})",
-    "ITEM": "element_at({0}, CAST({1} AS INT))",
-    "SEQUENCE_TO": "sequence(1, {0})",
+    "NEIGHBOURS": "explode(transform(sequence(1, size({0}) - 1), i -> concat(element_at({0}, i), chr(1), element_at({0}, i + 1))))",
 }
 DUCKDB = {
     "EPOCH": "CAST(floor(epoch({0})) AS BIGINT)",
@@ -35,8 +34,7 @@ DUCKDB = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "unnest({0})",
     "ITEMS": "len({0})",
-    "ITEM": "list_extract({0}, {1})",
-    "SEQUENCE_TO": "generate_series(1, {0})",
+    "NEIGHBOURS": "unnest(list_transform(generate_series(1, len({0}) - 1), lambda i: {0}[i] || chr(1) || {0}[i + 1]))",
 }
 
 

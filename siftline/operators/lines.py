@@ -18,10 +18,11 @@ QUERIES["lines_duplicate_words"] = (
     + r""",
 cleaned AS (SELECT doc_id, line_no, REGEX_REPLACE(line, '`[^`]*`', ' ') AS line FROM prose),
 tokens AS (SELECT doc_id, line_no, REGEX_ALL(line, '([A-Za-z]+(?:''[A-Za-z]+)?|[^A-Za-z \t]+)', 1) AS words FROM cleaned),
-places AS (SELECT doc_id, line_no, words, EXPLODE(SEQUENCE_TO(ITEMS(words) - 1)) AS k FROM tokens WHERE ITEMS(words) > 1)
-SELECT doc_id, line_no, lower(ITEM(words, k)) AS word, count(*) AS n FROM places
-WHERE lower(ITEM(words, k)) = lower(ITEM(words, k + 1)) AND REGEX_MATCH(ITEM(words, k), '^[A-Za-z]') AND lower(ITEM(words, k)) NOT IN ('that', 'is', 'blah', 'yada', 'ha', 'bye', 'had', 'no', 'very')
-GROUP BY doc_id, line_no, lower(ITEM(words, k))"""
+places AS (SELECT doc_id, line_no, NEIGHBOURS(words) AS pair FROM tokens WHERE ITEMS(words) > 1),
+pairs AS (SELECT doc_id, line_no, lower(split_part(pair, chr(1), 1)) AS word, lower(split_part(pair, chr(1), 2)) AS following FROM places)
+SELECT doc_id, line_no, word, count(*) AS n FROM pairs
+WHERE word = following AND REGEX_MATCH(word, '^[a-z]') AND word NOT IN ('that', 'is', 'blah', 'yada', 'ha', 'bye', 'had', 'no', 'very')
+GROUP BY doc_id, line_no, word"""
 )
 
 QUERIES["lines_heading_levels"] = (
@@ -93,11 +94,12 @@ SELECT doc_id, CAST(max(depth) AS BIGINT) AS max_depth, CAST(sum(CASE WHEN depth
 QUERIES["lines_repeated"] = r"""WITH counted AS (SELECT doc_id, trim(line) AS line, count(*) AS n FROM {lines} src WHERE length(trim(line)) > 20 GROUP BY doc_id, trim(line))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS repeated, max(n) AS most FROM counted GROUP BY doc_id"""
 
-QUERIES["lines_identical_sentences"] = r"""WITH split AS (SELECT doc_id, line_no, REGEX_ALL(line, '([^.!?]+[.!?]+)', 1) AS sentences FROM {lines} src),
-places AS (SELECT doc_id, line_no, sentences, EXPLODE(SEQUENCE_TO(ITEMS(sentences) - 1)) AS k FROM split WHERE ITEMS(sentences) > 1)
-SELECT doc_id, CAST(sum(CASE WHEN trim(ITEM(sentences, k)) = trim(ITEM(sentences, k + 1)) THEN 1 ELSE 0 END) AS BIGINT) AS exact_repeat, CAST(sum(CASE WHEN trim(ITEM(sentences, k)) <> trim(ITEM(sentences, k + 1)) AND lower(trim(ITEM(sentences, k))) = lower(trim(ITEM(sentences, k + 1))) THEN 1 ELSE 0 END) AS BIGINT) AS case_repeat, count(*) AS n_pairs FROM places GROUP BY doc_id"""
+QUERIES["lines_identical_sentences"] = r"""WITH split AS (SELECT doc_id, REGEX_ALL(line, '([^.!?]+[.!?]*)', 1) AS sentences FROM {lines} src),
+places AS (SELECT doc_id, NEIGHBOURS(sentences) AS pair FROM split WHERE ITEMS(sentences) > 1),
+pairs AS (SELECT doc_id, trim(split_part(pair, chr(1), 1)) AS a, trim(split_part(pair, chr(1), 2)) AS b FROM places)
+SELECT doc_id, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS exact_repeat, CAST(sum(CASE WHEN a <> b AND lower(a) = lower(b) THEN 1 ELSE 0 END) AS BIGINT) AS case_repeat, count(*) AS n_pairs FROM pairs GROUP BY doc_id"""
 
-QUERIES["lines_sentence_lengths"] = r"""WITH sentences AS (SELECT doc_id, EXPLODE(REGEX_ALL(line, '([^.!?]+[.!?]+)', 1)) AS sentence FROM {lines} src),
+QUERIES["lines_sentence_lengths"] = r"""WITH sentences AS (SELECT doc_id, EXPLODE(REGEX_ALL(line, '([^.!?]+[.!?]*)', 1)) AS sentence FROM {lines} src),
 sized AS (SELECT doc_id, REGEX_COUNT(sentence, '[^ \t]+') AS n FROM sentences),
 mean AS (SELECT doc_id, median(n) AS mid, count(*) AS n_sentences FROM sized GROUP BY doc_id)
 SELECT m.doc_id, m.n_sentences, CAST(sum(CASE WHEN s.n < 3 THEN 1 ELSE 0 END) AS BIGINT) AS short_sentence, CAST(sum(CASE WHEN s.n > 40 THEN 1 ELSE 0 END) AS BIGINT) AS long_sentence, CAST(sum(CASE WHEN s.n > 3 * m.mid THEN 1 ELSE 0 END) AS BIGINT) AS outlier_sentence FROM sized s JOIN mean m ON s.doc_id = m.doc_id GROUP BY m.doc_id, m.n_sentences"""
