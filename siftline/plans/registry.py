@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dialect
 from ..functions import rules as compiler
-from ..operators import config_rules, records, state, text
+from ..operators import code_rules, config_rules, records, state, text
 from ..operators import lines as line_checks
 from ..sources.tables import lines, table
 
@@ -36,7 +36,8 @@ def _machine(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rules are registered twenty at a time: one pass over the documents each.
-RULE_GROUPS = {f"rules_{i // 20 + 1:02d}": config_rules.RULES[i : i + 20] for i in range(0, len(config_rules.RULES), 20)}
+ALL_RULES = [*config_rules.RULES, *code_rules.CODE_RULES]
+RULE_GROUPS = {f"rules_{i // 20 + 1:02d}": ALL_RULES[i : i + 20] for i in range(0, len(ALL_RULES), 20)}
 
 
 def _rules(spark: SparkSession, sf_dir: str, group: list[compiler.Rule]) -> DataFrame:

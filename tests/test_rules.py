@@ -3,7 +3,7 @@
 import pytest
 
 from siftline.functions.rules import Rule, scan
-from siftline.operators.config_rules import RULES
+from siftline.plans.registry import ALL_RULES as RULES
 
 CLEAN = "A plain paragraph about rivers and towns.\nIt has two lines and no settings at all."
 
@@ -23,7 +23,8 @@ def test_probes_are_flagged(spark, start):
 
 def test_clean_text_is_left_alone(spark):
     assert found(spark, RULES[:120], CLEAN) == {}
-    assert found(spark, RULES[120:], CLEAN) == {}
+    assert found(spark, RULES[120:240], CLEAN) == {}
+    assert found(spark, RULES[240:], CLEAN) == {}
 
 
 def test_consent_gate_comment_and_absence(spark):
