@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dialect
 from ..functions import rules as compiler
-from ..operators import code_rules, config_rules, records, state, text
+from ..operators import chunks, code_rules, config_rules, records, state, text
 from ..operators import lines as line_checks
 from ..sources.tables import lines, table
 
@@ -45,6 +45,11 @@ def _rules(spark: SparkSession, sf_dir: str, group: list[compiler.Rule]) -> Data
     return compiler.scan(group, documents)
 
 
+def _chunks(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    out = chunks.fold(chunks.chunked(table(spark, sf_dir, "documents")), name)
+    return out.drop("sha256") if name == "chunks_lines" else out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["lines_duplicate_words"](spark, sf_dir)
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Query]:
     out |= {name: partial(_record, sql=sql) for name, sql in records.QUERIES.items()}
     out |= {name: partial(_lines, sql=sql) for name, sql in line_checks.QUERIES.items()}
     out |= {name: partial(_rules, group=group) for name, group in RULE_GROUPS.items()}
+    out |= {name: partial(_chunks, name=name) for name in chunks.MACHINES}
     return out | {name: partial(_machine, name=name) for name in state.MACHINES}
 
 
@@ -61,6 +67,7 @@ def oracle_sql() -> dict[str, str]:
     out = {f"text_{c.name}": text.oracle(c) for c in text.CHECKS}
     out |= {name: compiler.scan_sql(group, text.probed_sql([r.probe for r in group])) for name, group in RULE_GROUPS.items()}
     out |= {name: dialect.oracle(sql, {"lines": LINES_SQL}) for name, sql in line_checks.QUERIES.items()}
+    out |= chunks.ORACLES
     for name, sql in records.QUERIES.items():
         for spark_words, duckdb_words in records.DUCKDB_SPELLING.items():
             sql = sql.replace(spark_words, duckdb_words)
