@@ -1,0 +1,216 @@
+"""Operators that need a real parser, a keyed hash or resampling: Arrow-batched Pandas UDFs over one column.
+
+Each is a scalar function of a row's text, so there is no shuffle; what they
+return is a struct that native columns go on with.
+"""
+
+from __future__ import annotations
+
+import ast
+import hashlib
+import json
+import math
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Tags without an end tag.
+_VOID = set("area base br col embed hr img input link meta source track wbr".split())
+
+
+def scan_json(text: str | None) -> tuple[str, int, int, int]:
+    """Status, duplicate names within one object, numbers that a double cannot hold, and depth."""
+    duplicates, lossy = 0, 0
+
+    def pairs(items):
+        nonlocal duplicates
+        out = dict(items)
+        duplicates += len(items) - len(out)
+        return out
+
+    def whole(digits: str):
+        nonlocal lossy
+        value = int(digits)
+        lossy += abs(value) > 2**53 and int(float(value)) != value
+        return value
+
+    def depth(value) -> int:
+        below = value.values() if isinstance(value, dict) else value if isinstance(value, list) else None
+        return 0 if below is None else 1 + max(map(depth, below), default=0)
+
+    try:
+        value = json.loads(text or "", object_pairs_hook=pairs, parse_int=whole)
+        return "valid", duplicates, lossy, depth(value)
+    except (ValueError, RecursionError):
+        return "invalid", 0, 0, 0
+
+
+def recover_json(text: str | None) -> tuple[str, str | None]:
+    """Close what a cut-off JSON text left open: status (complete, recovered, lost) and the text that parses."""
+    body = (text or "").strip()
+    for end in range(len(body), max(0, len(body) - 200), -1):
+        head = body[:end]
+        stack, quoted, escaped = [], False, False
+        for c in head:
+            if quoted:
+                quoted, escaped = (c != '"') or escaped, c == "\\" and not escaped
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                stack.append("}" if c == "{" else "]")
+            elif c in "}]" and stack:
+                stack.pop()
+        candidate = head + '"' * quoted + "".join(reversed(stack))
+        try:
+            json.loads(candidate)
+        except ValueError:
+            continue
+        return ("complete" if candidate == body else "recovered"), candidate
+    return "lost", None
+
+
+def balance_tags(text: str | None) -> tuple[int, int, int]:
+    """Tags left open, end tags without a start, and end tags that cross another element."""
+    stack, unexpected, crossed = [], 0, 0
+    for end, name, own in re.findall(r"<(/?)([A-Za-z][A-Za-z0-9:_-]*)(?:\s[^<>]*?)?(/?)>", text or ""):
+        if own or name.lower() in _VOID:
+            continue
+        if not end:
+            stack.append(name)
+        elif stack and stack[-1] == name:
+            stack.pop()
+        elif name in stack:
+            crossed += 1
+            while stack.pop() != name:
+                pass
+        else:
+            unexpected += 1
+    return len(stack), unexpected, crossed
+
+
+def scan_python(text: str | None) -> list[tuple[str, int]]:
+    """Findings (kind, line) of Python source, from its syntax tree; a syntax error is a finding."""
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return [("syntax_error", getattr(e, "lineno", 0) or 0)]
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call):
+            name = ast.unparse(node.func)
+            words = {k.arg: k.value for k in node.keywords if k.arg}
+            literal = bool(node.args) and all(isinstance(a, ast.Constant) for a in node.args)
+            kinds = {
+                "eval_exec": name in ("eval", "exec", "compile", "__import__") and not literal,
+                "shell_true": isinstance(words.get("shell"), ast.Constant) and words["shell"].value is True,
+                "verify_false": isinstance(words.get("verify"), ast.Constant) and words["verify"].value is False,
+                "no_timeout": bool(re.fullmatch(r"requests\.(get|post|put|delete|head|patch)", name)) and "timeout" not in words,
+                "pickle_load": name in ("pickle.load", "pickle.loads", "marshal.loads"),
+                "yaml_load": name in ("yaml.load", "yaml.load_all") and "SafeLoader" not in ast.unparse(node),
+                "mktemp": name == "tempfile.mktemp",
+                "weak_hash": name in ("hashlib.md5", "hashlib.sha1"),
+            }
+            out += [(k, node.lineno) for k, hit in kinds.items() if hit]
+        elif isinstance(node, ast.ExceptHandler) and node.type is None:
+            out.append(("bare_except", node.lineno))
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            defaults = [*node.args.defaults, *(d for d in node.args.kw_defaults if d)]
+            out += [("mutable_default", node.lineno)] * sum(isinstance(d, (ast.List, ast.Dict, ast.Set)) for d in defaults)
+            if isinstance(node, ast.AsyncFunctionDef):
+                out += [("blocking_in_async", c.lineno) for c in ast.walk(node) if isinstance(c, ast.Call) and ast.unparse(c.func) in ("time.sleep", "requests.get", "requests.post")]
+    return sorted(set(out), key=lambda x: (x[1], x[0]))
+
+
+def canonical_json(value) -> str:
+    """Names sorted, no blanks; what is not JSON is an error."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def route(key: str, backends: list[tuple[str, float]]) -> str:
+    """The backend of the highest weighted rendezvous score, the first by name among equals."""
+
+    def score(name: str, weight: float) -> float:
+        n = int.from_bytes(hashlib.blake2b(f"{key}\0{name}".encode(), digest_size=8).digest(), "big")
+        return weight / -math.log(min((n + 1) / 2**64, 1.0 - 2**-53))
+
+    return min(backends, key=lambda b: (-score(*b), b[0]))[0]
+
+
+def _struct(function, schema: str, names: list[str]):
+    @F.pandas_udf(schema)
+    def apply(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([function(t) for t in texts], columns=names)
+
+    return apply
+
+
+def json_scan(df: DataFrame, key: str, text: str) -> DataFrame:
+    names = ["status", "duplicate_keys", "lossy_numbers", "depth"]
+    return df.select(key, _struct(scan_json, "status string, duplicate_keys int, lossy_numbers int, depth int", names)(text).alias("_x")).select(key, "_x.*")
+
+
+def json_recovery(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, _struct(recover_json, "status string, recovered string", ["status", "recovered"])(text).alias("_x")).select(key, "_x.*")
+
+
+def tag_balance(df: DataFrame, key: str, text: str) -> DataFrame:
+    names = ["unmatched_open", "unexpected_close", "crossed_close"]
+    return df.select(key, _struct(balance_tags, "unmatched_open int, unexpected_close int, crossed_close int", names)(text).alias("_x")).select(key, "_x.*")
+
+
+def python_findings(df: DataFrame, key: str, text: str) -> DataFrame:
+    @F.pandas_udf("array<struct<kind:string,line_no:int>>")
+    def apply(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "line_no": n} for k, n in scan_python(t)] for t in texts])
+
+    return df.select(key, F.explode(apply(text)).alias("_x")).select(key, "_x.kind", "_x.line_no")
+
+
+def cache_keys(df: DataFrame, key: str, model: str, prompt: str, temperature: str) -> DataFrame:
+    """SHA-256 of each call's canonical descriptor."""
+
+    @F.pandas_udf("string")
+    def apply(models: pd.Series, prompts: pd.Series, temperatures: pd.Series) -> pd.Series:
+        def one(m, p, t) -> str:
+            return hashlib.sha256(canonical_json({"context_hash": hashlib.sha256(b"null").hexdigest(), "model": m, "prompt": p, "temperature": round(float(t), 4)}).encode()).hexdigest()
+
+        return pd.Series([one(*x) for x in zip(models, prompts, temperatures, strict=True)])
+
+    return df.select(key, apply(model, prompt, temperature).alias("cache_key"))
+
+
+def routed(df: DataFrame, key: str, backends: list[tuple[str, float]]) -> DataFrame:
+    @F.pandas_udf("string")
+    def apply(keys: pd.Series) -> pd.Series:
+        return pd.Series([route(str(k), backends) for k in keys])
+
+    return df.select(key).distinct().select(key, apply(F.col(key).cast("string")).alias("backend"))
+
+
+def bootstrap_bands(df: DataFrame, name: str, score: str, rounds: int = 2000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """Mean and percentile bootstrap interval of each name's scores.
+
+    Resampling draws how often each distinct score occurs, so a group comes to its task as counts of scores, however
+    many rows it has.
+    """
+
+    def bands(group: pd.DataFrame) -> pd.DataFrame:
+        values, counts = group["score"].to_numpy(float), group["n"].to_numpy(np.int64)
+        total = int(counts.sum())
+        own = int.from_bytes(hashlib.blake2b(str(group["name"].iloc[0]).encode(), digest_size=8).digest(), "big")
+        means = np.sort(np.random.default_rng([seed, own]).multinomial(total, counts / total, rounds) @ values / total)
+        low, high = max(0, int(alpha / 2 * rounds)), min(rounds - 1, int((1 - alpha / 2) * rounds))
+        return pd.DataFrame({"name": [group["name"].iloc[0]], "n": [total], "mean": [float(values @ counts / total)], "lower": [float(means[low])], "upper": [float(means[high])]})
+
+    counted = df.where(F.col(score).isNotNull()).groupBy(F.col(name).alias("name"), F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"))
+    return counted.groupBy("name").applyInPandas(bands, "name string, n long, mean double, lower double, upper double")
+
+
+# Texts that the parsers have something to say about.
+JSON_PROBES = ['{"a": 1, "a": 2}', '{"n": 12345678901234567891}', '[1, 2', '{"k": {"x": [1, {"y": "z', "{'a': 1}", '{"ok": [[]]}', "", '{"a": "b\\"c']
+XML_PROBES = ["<a><b></b></a>", "<a><b></a></b>", "<p>x<br>y", "</div>", "<img/><i>z</i>"]
+PYTHON_PROBES = ["eval(x)", "try:\n    f()\nexcept:\n    pass", "def f(a=[]):\n    return a", "import subprocess\nsubprocess.run(c, shell=True)", "async def g():\n    time.sleep(1)", "def broken(:", "requests.get(u)\nyaml.load(s)\npickle.loads(b)", "x = 1"]
+BACKENDS = [("alpha", 5.0), ("beta", 2.0), ("gamma", 1.0)]
