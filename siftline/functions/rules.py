@@ -9,6 +9,9 @@ shuffles.  Patterns keep to what Java's and RE2's expressions share.
 
 from __future__ import annotations
 
+import functools
+import re._constants as sre
+import re._parser as sre_parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,14 +62,69 @@ class Rule:
     comments: str | None = HASH_COMMENT
 
 
-def _count(rule: Rule, text: Column) -> Column:
+def _required(parts) -> set[str] | None:
+    """Literals of which every match holds one, the longest that can be told; None if there are none."""
+    choices: list[set[str]] = []
+    run = ""
+    for op, argument in [*parts, (None, None)]:
+        if op is sre.LITERAL and argument < 128:
+            run += chr(argument).lower()
+            continue
+        if len(run) > 1:
+            choices.append({run})
+        run = ""
+        inner = None
+        if op is sre.SUBPATTERN:
+            inner = [argument[-1]]
+        elif op is sre.BRANCH:
+            inner = argument[1]
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and argument[0] >= 1:
+            inner = [argument[2]]
+        if inner is not None:
+            found = [_required(x) for x in inner]
+            if all(found):
+                choices.append(set().union(*found))
+    return max(choices, key=lambda c: (min(map(len, c)), -len(c)), default=None)
+
+
+@functools.cache
+def needles(pattern: str) -> frozenset[str] | None:
+    """Lower-case literals of which every match of ``pattern`` holds one; None if that can't be told."""
+    if r"\x{" in pattern or r"\p{" in pattern:
+        return None
+    try:
+        found = _required(sre_parser.parse(pattern.replace(r"\z", r"\Z")))
+    except Exception:  # a construct that only the other engines know
+        return None
+    return frozenset(found) if found else None
+
+
+def _may_match(patterns: tuple[str, ...], lowered: Column) -> Column | None:
+    """A cheap condition that holds wherever one of the patterns matches."""
+    sets = [needles(p) for p in patterns]
+    if not sets or not all(sets):
+        return None
+    condition = None
+    for n in sorted(set().union(*sets)):
+        hit = F.contains(lowered, F.lit(n))
+        condition = hit if condition is None else condition | hit
+    return condition
+
+
+def _count(rule: Rule, text: Column, lowered: Column) -> Column:
     clean = F.regexp_replace(text, rule.comments, "") if rule.comments else text
     total = F.lit(0)
     for p in rule.found:
         total = total + F.regexp_count(clean, F.lit(p))
     for p in rule.needed:
         total = total + F.when(clean.rlike(p), 0).otherwise(1)
-    applies = F.lit(True) if rule.gate is None else text.rlike(rule.gate)
+    # from the cheapest to the dearest: substrings, the gate, consent; only then comments and patterns
+    applies = F.lit(True)
+    for patterns in ((rule.gate,) if rule.gate else (), () if rule.needed else rule.found):
+        cheap = _may_match(patterns, lowered)
+        applies = applies if cheap is None else applies & cheap
+    if rule.gate:
+        applies = applies & text.rlike(rule.gate)
     if rule.consent:
         applies = applies & ~text.rlike(rule.consent)
     return F.when(applies, total).otherwise(F.lit(0)).cast("bigint")
@@ -74,9 +132,10 @@ def _count(rule: Rule, text: Column) -> Column:
 
 def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of (key, rule, findings) for the rules that a document breaks."""
-    counted = F.array(*(F.struct(F.lit(r.name).alias("rule"), _count(r, F.col(text)).alias("findings")) for r in rules))
+    source = documents.select(F.col(key), F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    counted = F.array(*(F.struct(F.lit(r.name).alias("rule"), _count(r, F.col("_text"), F.col("_low")).alias("findings")) for r in rules))
     broken = F.filter(counted, lambda x: x["findings"] > 0)
-    return documents.select(F.col(key), F.explode(broken).alias("_x")).select(key, "_x.rule", "_x.findings")
+    return source.select(F.col(key), F.explode(broken).alias("_x")).select(key, "_x.rule", "_x.findings")
 
 
 def scan_sql(rules: list[Rule], documents: str) -> str:
