@@ -127,9 +127,10 @@ def shingles(t, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("block", [4_000_000, 60])
-def test_jaccard(docs, rows, empty, monkeypatch, block):
+@pytest.mark.parametrize("block, common", [(2_000_000, 20), (60, 20), (2_000_000, 3)])
+def test_jaccard(docs, rows, empty, monkeypatch, block, common):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", common)
     keyed = [(k, shingles(t, 4)) for k, t, *_ in rows if k is not None]
     up = {k: k for k, _ in keyed}
 
