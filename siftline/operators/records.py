@@ -180,6 +180,20 @@ WITH sections AS (SELECT l_orderkey AS prompt, row_number() OVER (PARTITION BY l
 running AS (SELECT prompt, priority, tokens, coalesce(CAST(sum(tokens) OVER (PARTITION BY prompt ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM sections)
 SELECT prompt, priority, tokens, greatest(0, least(tokens, 80 - before)) AS granted, CASE WHEN before + tokens <= 80 THEN 'intact' WHEN before < 80 THEN 'truncated' ELSE 'dropped' END AS status FROM running"""
 
+QUERIES["numeric_grounding"] = r"""
+WITH said AS (SELECT conv_id, turn, role, concat(text, ' ', CAST((conv_id * 7 + turn) % 23 AS STRING), ' ', CAST(turn * 1.5 AS STRING), '%') AS text FROM {conversations}),
+numbers AS (SELECT conv_id, role, EXPLODE(REGEX_ALL(text, '([0-9]+(?:[.][0-9]+)?%?)', 1)) AS number FROM said),
+claimed AS (SELECT conv_id, number, count(*) AS n FROM numbers WHERE role = 'assistant' GROUP BY conv_id, number),
+known AS (SELECT DISTINCT conv_id, number FROM numbers WHERE role <> 'assistant')
+SELECT c.conv_id, count(*) AS n_numbers, CAST(sum(CASE WHEN k.number IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS ungrounded, CASE WHEN sum(CASE WHEN k.number IS NULL THEN 1 ELSE 0 END) = 0 THEN 'grounded' ELSE 'ungrounded' END AS verdict
+FROM claimed c LEFT JOIN known k ON c.conv_id = k.conv_id AND c.number = k.number GROUP BY c.conv_id"""
+
+QUERIES["instruction_conflicts"] = r"""
+WITH clauses AS (SELECT conv_id, turn, lower(text) AS text, CASE WHEN turn % 4 < 2 THEN 'always' ELSE 'never' END AS polarity FROM {conversations} WHERE role <> 'assistant'),
+words AS (SELECT DISTINCT conv_id, turn, polarity, EXPLODE(REGEX_ALL(text, '([a-z]{5,})', 1)) AS word FROM clauses),
+shared AS (SELECT a.conv_id, a.turn AS one, b.turn AS other, count(*) AS n FROM words a JOIN words b ON a.conv_id = b.conv_id AND a.word = b.word AND a.turn < b.turn AND a.polarity <> b.polarity GROUP BY a.conv_id, a.turn, b.turn)
+SELECT conv_id, one, other, n AS shared_words FROM shared WHERE n >= 1"""
+
 # --- payloads, grading and routing ------------------------------------------
 
 QUERIES["partial_failures"] = """
