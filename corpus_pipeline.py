@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftline.llm import jaccard, mixing, packing, quality, queries, toxicity
 from siftline.llm.frames import durable, table
@@ -18,22 +17,14 @@ from siftline.llm.frames import durable, table
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, scored: DataFrame, kept) -> DataFrame:
-    """The rows of ``docs`` whose key passes; all rows of a key of several texts go if one of them fails."""
-    failed = scored.where(~kept).select("doc_id").distinct()
-    return docs.join(failed, docs["doc_id"].eqNullSafe(failed["doc_id"]), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
-    model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, toxicity.scores(docs, model), F.col("score") < queries.TOXIC)
+    return toxicity.below(docs, queries.toxicity_model(docs, table(spark, sf_dir, "labels")), queries.TOXIC)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject."""
-    model = queries.quality_model(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, quality.scores(docs, model), F.col("score") >= queries.GOOD)
+    return quality.at_least(docs, queries.quality_model(docs, table(spark, sf_dir, "labels")), queries.GOOD)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

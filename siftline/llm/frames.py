@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch; Spark's own default of 10,000 holds tens of megabytes of text in each Python worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to Python in batches of ``BATCH_ROWS`` at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, start: Callable | None = None) -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``start()`` is called once in each task and its result handed on."""
 
@@ -34,9 +54,28 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                 out = function(batch, *state)
                 if out is not None and out.num_rows:
                     yield out
+                del batch, out
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, verdict: Callable[..., object], start: Callable | None = None) -> DataFrame:
+    """The rows of ``df``, with all their columns, for whose ``column`` the function of an Arrow column is true; nothing
+    is shuffled."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (start(),) if start else ()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(verdict(batch.column(at), *state), pa.bool_()))
+        give_back()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 def arrays(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))

@@ -120,6 +120,8 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **op
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("match"))
     mixed = mix(df, key, text, keep_order=True, **options)
     taken = mixed.groupBy(F.col("doc_id").alias("taken_key"), F.col("_order").alias("taken_match")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    turn = F.row_number().over(Window.partitionBy("taken_match", "taken_key").orderBy("taken_match")) - 1
-    each = held.join(taken, (held["match"] == taken["taken_match"]) & held["key"].eqNullSafe(taken["taken_key"])).withColumn("own", F.floor((F.col("copies") + F.col("rows") - 1 - turn) / F.col("rows")).cast("int"))
+    # dealt by the hash alone, so that the numbering of equal rows needs no second shuffle
+    same = F.coalesce(held["key"] == taken["taken_key"], held["key"].isNull() & taken["taken_key"].isNull())
+    turn = F.row_number().over(Window.partitionBy("match", "taken_key").orderBy("match")) - 1
+    each = held.join(taken, (held["match"] == taken["taken_match"]) & same).withColumn("own", F.floor((F.col("copies") + F.col("rows") - 1 - turn) / F.col("rows")).cast("int"))
     return each.where("own > 0").withColumn("own", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")

@@ -40,7 +40,7 @@ class Capacity:
 class _Ids:
     """The library's ids of distinct pre-tokens, remembered up to a bound."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)

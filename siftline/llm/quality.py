@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrays, map_batches
+from .frames import arrays, keep_rows, map_batches
 from .kernels import LOWER, TextSlice, mix, per_row, segments, text_slices, words
 from .kernels import table as byte_table
 
@@ -169,6 +169,13 @@ def fit(df: DataFrame, positives: DataFrame, left_out, key: str = "doc_id", text
     return Model(knots, w, b, prior)
 
 
+def score_column(column: pa.Array, model: Model | None) -> np.ndarray:
+    """Scores of an Arrow column of texts."""
+    if model is None:
+        return np.full(len(column), 0.5)
+    return np.concatenate([_sigmoid(_basis(shape_features(p), model.knots) @ model.weight + model.bias) for p in text_slices(column)])
+
+
 def scores(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``key`` and score (0 to 1, higher: better), one for each input row, without a shuffle.
 
@@ -177,10 +184,12 @@ def scores(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     """
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if model is None:
-            return arrays(**{key: batch.column(0), "score": np.full(batch.num_rows, 0.5)})
-        out = [_sigmoid(_basis(shape_features(p), model.knots) @ model.weight + model.bias) for p in text_slices(batch.column(1))]
-        return arrays(**{key: batch.column(0), "score": np.concatenate(out)})
+        return arrays(**{key: batch.column(0), "score": score_column(batch.column(1), model)})
 
     source = df.select(key, text)
     return map_batches(source, score, f"`{key}` {source.schema[0].dataType.simpleString()}, score double")
+
+
+def at_least(df: DataFrame, model: Model | None, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that score the threshold or more, with all their columns, in one pass."""
+    return keep_rows(df, text, lambda column: score_column(column, model) >= threshold)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrays, map_batches
+from .frames import arrays, keep_rows, map_batches
 from .kernels import LOWER, TextSlice, mix, text_slices, words
 from .kernels import table as byte_table
 
@@ -128,6 +128,24 @@ def fit(df: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text:
     return Model(bits, skips, found[0][1], np.array([p for p, _ in found[1:]], np.int64), np.array([w for _, w in found[1:]], np.float64))
 
 
+def _dense(model: Model) -> np.ndarray:
+    out = np.zeros(1 << model.bits)
+    out[model.index] = model.weight
+    return out
+
+
+def score_column(column: pa.Array, model: Model, dense: np.ndarray) -> np.ndarray:
+    """Scores of an Arrow column of texts."""
+    out = []
+    for part in text_slices(column):
+        rows, places = features(part, model.bits, model.skips)
+        used = dense[places] != 0
+        rows, places = _distinct(rows[used], places[used], model.bits)
+        total = np.bincount(rows, dense[places], part.rows) + model.bias
+        out.append(1 / (1 + np.exp(-np.clip(total, -700, 700))) if np.isfinite(model.bias) else np.zeros(part.rows))
+    return np.concatenate(out)
+
+
 def scores(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``key`` and score (0 to 1), one for each input row, without a shuffle.
 
@@ -136,20 +154,14 @@ def scores(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def start() -> np.ndarray:
-        dense = np.zeros(1 << sent.value.bits)
-        dense[sent.value.index] = sent.value.weight
-        return dense
-
     def score(batch: pa.RecordBatch, dense: np.ndarray) -> pa.RecordBatch:
-        out = []
-        for part in text_slices(batch.column(1)):
-            rows, places = features(part, sent.value.bits, sent.value.skips)
-            used = dense[places] != 0
-            rows, places = _distinct(rows[used], places[used], sent.value.bits)
-            total = np.bincount(rows, dense[places], part.rows) + sent.value.bias
-            out.append(1 / (1 + np.exp(-np.clip(total, -700, 700))) if np.isfinite(sent.value.bias) else np.zeros(part.rows))
-        return arrays(**{key: batch.column(0), "score": np.concatenate(out)})
+        return arrays(**{key: batch.column(0), "score": score_column(batch.column(1), sent.value, dense)})
 
     source = df.select(key, text)
-    return map_batches(source, score, f"`{key}` {source.schema[0].dataType.simpleString()}, score double", start)
+    return map_batches(source, score, f"`{key}` {source.schema[0].dataType.simpleString()}, score double", lambda: _dense(sent.value))
+
+
+def below(df: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that score below the threshold, with all their columns, in one pass."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(df, text, lambda column, dense: score_column(column, sent.value, dense) < threshold, lambda: _dense(sent.value))
