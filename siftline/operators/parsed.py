@@ -33,8 +33,8 @@ def scan_json(text: str | None) -> tuple[str, int, int, int]:
 
     def whole(digits: str):
         nonlocal lossy
-        value = int(digits)
-        lossy += abs(value) > 2**53 and int(float(value)) != value
+        value = float(digits)  # of any length, where int() and float(int) give up on long ones
+        lossy += math.isinf(value) or abs(value) >= 2**53 and int(value) != int(digits)
         return value
 
     def depth(value) -> int:
@@ -91,16 +91,25 @@ def balance_tags(text: str | None) -> tuple[int, int, int]:
     return len(stack), unexpected, crossed
 
 
+def _dotted(node: ast.expr) -> str:
+    """``a.b.c`` of names and attributes alone, else nothing; chains of calls may be longer than the stack is deep."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else ""
+
+
 def scan_python(text: str | None) -> list[tuple[str, int]]:
     """Findings (kind, line) of Python source, from its syntax tree; a syntax error is a finding."""
     try:
         tree = ast.parse(text or "")
-    except (SyntaxError, ValueError, RecursionError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [("syntax_error", getattr(e, "lineno", 0) or 0)]
     out = []
     for node in ast.walk(tree):
         if isinstance(node, ast.Call):
-            name = ast.unparse(node.func)
+            name = _dotted(node.func)
             words = {k.arg: k.value for k in node.keywords if k.arg}
             literal = bool(node.args) and all(isinstance(a, ast.Constant) for a in node.args)
             kinds = {
@@ -109,7 +118,7 @@ def scan_python(text: str | None) -> list[tuple[str, int]]:
                 "verify_false": isinstance(words.get("verify"), ast.Constant) and words["verify"].value is False,
                 "no_timeout": bool(re.fullmatch(r"requests\.(get|post|put|delete|head|patch)", name)) and "timeout" not in words,
                 "pickle_load": name in ("pickle.load", "pickle.loads", "marshal.loads"),
-                "yaml_load": name in ("yaml.load", "yaml.load_all") and "SafeLoader" not in ast.unparse(node),
+                "yaml_load": name in ("yaml.load", "yaml.load_all") and not any("SafeLoader" in v for n in ast.walk(node) for v in (getattr(n, k, None) for k in ("id", "attr", "arg", "value")) if isinstance(v, str)),
                 "mktemp": name == "tempfile.mktemp",
                 "weak_hash": name in ("hashlib.md5", "hashlib.sha1"),
             }
@@ -120,7 +129,7 @@ def scan_python(text: str | None) -> list[tuple[str, int]]:
             defaults = [*node.args.defaults, *(d for d in node.args.kw_defaults if d)]
             out += [("mutable_default", node.lineno)] * sum(isinstance(d, (ast.List, ast.Dict, ast.Set)) for d in defaults)
             if isinstance(node, ast.AsyncFunctionDef):
-                out += [("blocking_in_async", c.lineno) for c in ast.walk(node) if isinstance(c, ast.Call) and ast.unparse(c.func) in ("time.sleep", "requests.get", "requests.post")]
+                out += [("blocking_in_async", c.lineno) for c in ast.walk(node) if isinstance(c, ast.Call) and _dotted(c.func) in ("time.sleep", "requests.get", "requests.post")]
     return sorted(set(out), key=lambda x: (x[1], x[0]))
 
 
@@ -209,7 +218,7 @@ def bootstrap_bands(df: DataFrame, name: str, score: str, rounds: int = 2000, al
     return counted.groupBy("name").applyInPandas(bands, "name string, n long, mean double, lower double, upper double")
 
 
-# Texts that the parsers have something to say about.
+# Texts that the parsers have something to say about, for tests.
 JSON_PROBES = ['{"a": 1, "a": 2}', '{"n": 12345678901234567891}', '[1, 2', '{"k": {"x": [1, {"y": "z', "{'a': 1}", '{"ok": [[]]}', "", '{"a": "b\\"c']
 XML_PROBES = ["<a><b></b></a>", "<a><b></a></b>", "<p>x<br>y", "</div>", "<img/><i>z</i>"]
 PYTHON_PROBES = ["eval(x)", "try:\n    f()\nexcept:\n    pass", "def f(a=[]):\n    return a", "import subprocess\nsubprocess.run(c, shell=True)", "async def g():\n    time.sleep(1)", "def broken(:", "requests.get(u)\nyaml.load(s)\npickle.loads(b)", "x = 1"]

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import dialect
 from ..functions import rules as compiler
@@ -51,19 +50,18 @@ def _chunks(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out.drop("sha256") if name == "chunks_lines" else out
 
 
-def _with_probes(spark: SparkSession, sf_dir: str, probes: list[str]) -> DataFrame:
-    """Documents whose text is one of the probes alone."""
-    chosen = F.element_at(F.array(*(F.lit(p) for p in probes)), (F.pmod("doc_id", F.lit(len(probes))) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("text"))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are: a parser reads a whole text, which prose before a probe would only break."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 PARSED: dict[str, Query] = {
-    "parsed_json": lambda spark, sf_dir: parsed.json_scan(_with_probes(spark, sf_dir, parsed.JSON_PROBES), "doc_id", "text"),
-    "parsed_json_recovery": lambda spark, sf_dir: parsed.json_recovery(_with_probes(spark, sf_dir, parsed.JSON_PROBES), "doc_id", "text"),
+    "parsed_json": lambda spark, sf_dir: parsed.json_scan(_texts(spark, sf_dir), "doc_id", "text"),
+    "parsed_json_recovery": lambda spark, sf_dir: parsed.json_recovery(_texts(spark, sf_dir), "doc_id", "text"),
     "parsed_event_props": lambda spark, sf_dir: parsed.json_scan(table(spark, sf_dir, "events"), "event_id", "props"),
     "parsed_tags": lambda spark, sf_dir: parsed.tag_balance(table(spark, sf_dir, "pages"), "page_id", "html"),
-    "parsed_tag_probes": lambda spark, sf_dir: parsed.tag_balance(_with_probes(spark, sf_dir, parsed.XML_PROBES), "doc_id", "text"),
-    "parsed_python": lambda spark, sf_dir: parsed.python_findings(_with_probes(spark, sf_dir, parsed.PYTHON_PROBES), "doc_id", "text"),
+    "parsed_tag_probes": lambda spark, sf_dir: parsed.tag_balance(_texts(spark, sf_dir), "doc_id", "text"),
+    "parsed_python": lambda spark, sf_dir: parsed.python_findings(_texts(spark, sf_dir), "doc_id", "text"),
     "parsed_cache_keys": lambda spark, sf_dir: parsed.cache_keys(table(spark, sf_dir, "events"), "event_id", "event_type", "props", "value"),
     "parsed_routes": lambda spark, sf_dir: parsed.routed(table(spark, sf_dir, "events"), "user_id", parsed.BACKENDS),
     "parsed_bootstrap": lambda spark, sf_dir: parsed.bootstrap_bands(table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"), "source", "quality"),

@@ -41,3 +41,26 @@ def test_queries_run(spark, sf, name):
     assert rows
     if name == "parsed_bootstrap":
         assert all(r["lower"] <= r["mean"] <= r["upper"] for r in rows)
+
+
+def test_parsers_read_the_documents_texts(spark, tmp_path):
+    probes = [*parsed.JSON_PROBES, *parsed.XML_PROBES, *parsed.PYTHON_PROBES, "1" + "0" * 5000, "a" + ".b()" * 3000, "plain words", None]
+    texts = list(enumerate([*probes, *reversed(probes)]))  # one text under two keys: rows follow the text, not the key
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def rows(name):
+        return sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+
+    assert rows("parsed_json") == sorted((k, *parsed.scan_json(t)) for k, t in texts)
+    assert rows("parsed_json_recovery") == sorted(((k, *parsed.recover_json(t)) for k, t in texts), key=lambda r: r[0])
+    assert rows("parsed_tag_probes") == sorted((k, *parsed.balance_tags(t)) for k, t in texts)
+    assert rows("parsed_python") == sorted((k, *x) for k, t in texts for x in parsed.scan_python(t))
+    assert parsed.scan_json("1" + "0" * 5000) == ("valid", 0, 1, 0) and parsed.scan_json(str(2**53 + 1))[2] == 1 and parsed.scan_json(str(2**60))[2] == 0
+
+
+def test_parsers_read_the_tables_texts(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["parsed_json"](spark, sf).collect()}
+    assert found == {k: parsed.scan_json(t) for k, t in texts.items()}
+    found = {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["parsed_tag_probes"](spark, sf).collect()}
+    assert found == {k: parsed.balance_tags(t) for k, t in texts.items()}
