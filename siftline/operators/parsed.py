@@ -48,28 +48,62 @@ def scan_json(text: str | None) -> tuple[str, int, int, int]:
         return "invalid", 0, 0, 0
 
 
+#: Tokens of JSON as ``json.loads`` reads them: a string without its end quote, and numbers and names.
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+')
+_SCALAR = re.compile(r"true|false|null|NaN|-?Infinity|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
+
 def recover_json(text: str | None) -> tuple[str, str | None]:
-    """Close what a cut-off JSON text left open: status (complete, recovered, lost) and the text that parses."""
+    """Close what a cut-off JSON text left open: status (complete, recovered, lost) and the text that parses.
+
+    One scan from the left finds the longest prefix that closing an open string value and the open brackets makes
+    whole, however much follows it.
+    """
     body = (text or "").strip()
-    for end in range(len(body), max(0, len(body) - 200), -1):
-        head = body[:end]
-        stack, quoted, escaped = [], False, False
-        for c in head:
-            if quoted:
-                quoted, escaped = (c != '"') or escaped, c == "\\" and not escaped
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack:
+    stack: list[str] = []
+    at, safe, quote, want = 0, 0, "", "value"
+    while True:
+        at = _BLANKS.match(body, at).end()
+        if want in ("first_key", "first_value", "after"):  # brackets change only where the cut moves with them
+            safe = at
+        c = body[at : at + 1]
+        if want == "after":
+            if stack and c == ",":
+                want = "key" if stack[-1] == "}" else "value"
+            elif stack and c == stack[-1]:
                 stack.pop()
-        candidate = head + '"' * quoted + "".join(reversed(stack))
-        try:
-            json.loads(candidate)
-        except ValueError:
-            continue
-        return ("complete" if candidate == body else "recovered"), candidate
-    return "lost", None
+            else:
+                break
+            at += 1
+        elif want == "colon":
+            if c != ":":
+                break
+            at, want = at + 1, "value"
+        elif c == '"':
+            at = _STRING.match(body, at).end()
+            closed = body[at : at + 1] == '"'
+            if not closed:
+                if want in ("value", "first_value"):
+                    safe, quote = at, '"'
+                break
+            at, want = at + 1, "colon" if want in ("key", "first_key") else "after"
+        elif want in ("first_key", "first_value") and c == stack[-1]:
+            stack.pop()
+            at, want = at + 1, "after"
+        elif want in ("key", "first_key"):
+            break
+        elif c in ("{", "["):
+            stack.append("}" if c == "{" else "]")
+            at, want = at + 1, "first_key" if c == "{" else "first_value"
+        elif m := _SCALAR.match(body, at):
+            at, want = m.end(), "after"
+        else:
+            break
+    if not safe:
+        return "lost", None
+    candidate = body[:safe] + quote + "".join(reversed(stack))
+    return ("complete" if candidate == body else "recovered"), candidate
 
 
 def balance_tags(text: str | None) -> tuple[int, int, int]:

@@ -1,5 +1,7 @@
 """Parsers, routing and resampling on hand-made inputs."""
 
+import json
+import random
 from collections import Counter
 
 import pytest
@@ -64,3 +66,56 @@ def test_parsers_read_the_tables_texts(spark, sf):
     assert found == {k: parsed.scan_json(t) for k, t in texts.items()}
     found = {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["parsed_tag_probes"](spark, sf).collect()}
     assert found == {k: parsed.balance_tags(t) for k, t in texts.items()}
+
+
+def longest_closable(text):
+    """Brute force: every prefix from the longest to the shortest, closed and parsed."""
+    body = text.strip()
+    for end in range(len(body), 0, -1):
+        stack, quoted, escaped = [], False, False
+        for c in body[:end]:
+            if quoted:
+                quoted, escaped = (c != '"') or escaped, c == "\\" and not escaped
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                stack.append("}" if c == "{" else "]")
+            elif c in "}]" and stack:
+                stack.pop()
+        candidate = body[:end] + '"' * quoted + "".join(reversed(stack))
+        try:
+            json.loads(candidate)
+        except ValueError:
+            continue
+        return ("complete" if candidate == body else "recovered"), candidate
+    return "lost", None
+
+
+def test_recovery_agrees_with_brute_force():
+    rng = random.Random(6)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 6:
+            return {rng.choice(["k", 'q"', "", "né", "\\"]) + str(i): value(depth - 1) for i in range(rng.randrange(4))}
+        return rng.choice([None, True, -0.5, 12, 1e30, "a b", 'x"y\\', "ü\n", "", float("inf")])
+
+    texts = [*parsed.JSON_PROBES, "-", "1.", "1.5e", "01", "tru", '"a', '"\\u12', '"\\', '{"a" 1}', "[1,]", "[1}", '{"a":1,}', "{,}", '["a\nb"]', "\ufeff[]"]
+    for _ in range(1500):
+        t = json.dumps(value(3), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        if rng.random() < 0.5:  # one character changed
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice('{}[]",:\\ 1e-.tnx') + t[at + 1 :]
+        texts.append(rng.choice([t, t[: rng.randrange(len(t) + 1)], t + " and, so on {x"]))
+    for t in texts:
+        assert parsed.recover_json(t) == longest_closable(t), t
+
+
+def test_recovery_has_no_limit_of_characters():
+    prose = "That is all I found, and here is why. " * 50
+    assert parsed.recover_json('{"a": [1, 2]}' + prose) == ("recovered", '{"a": [1, 2]}')
+    assert parsed.recover_json('{"a": 1, "' + "k" * 5000) == ("recovered", '{"a": 1}')
+    assert parsed.recover_json("[" * 100_000) == ("recovered", "[" * 100_000 + "]" * 100_000)
+    assert parsed.recover_json("x" * 1_000_000) == ("lost", None)
