@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dialect
 from ..functions import rules as compiler
-from ..operators import chunks, code_rules, config_rules, parsed, records, state, text
+from ..operators import chunks, code_rules, config_rules, instructions, parsed, records, state, text
 from ..operators import lines as line_checks
 from ..sources.tables import lines, table
 
@@ -79,6 +79,7 @@ def queries() -> dict[str, Query]:
     out |= {name: partial(_rules, group=group) for name, group in RULE_GROUPS.items()}
     out |= {name: partial(_chunks, name=name) for name in chunks.MACHINES}
     out |= PARSED
+    out["instruction_clause_conflicts"] = lambda spark, sf_dir: instructions.conflicts(table(spark, sf_dir, "conversations"))
     return out | {name: partial(_machine, name=name) for name in state.MACHINES}
 
 
