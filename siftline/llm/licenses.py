@@ -202,12 +202,34 @@ def _literal(value, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), schema)
 
 
+@functools.cache
+def wrap_pattern() -> str:
+    """A line break within a notice, and what stands before it on its line: the words around it follow each other in a
+    template, one word of either side left out if need be."""
+    near, far = defaultdict(set), defaultdict(set)
+    for notices in NOTICES.values():
+        for n in notices:
+            w = re.findall(WORD, n.lower())
+            for i in range(len(w) - 1):
+                near[w[i]].add(w[i + 1])
+            for i in range(len(w) - 2):
+                far[w[i]].add(w[i + 2])
+    gap, word = r"[^a-z0-9\n]", r"[a-z0-9]+(?:\.[0-9]+)*+"
+
+    def after(words: set[str]) -> str:
+        return "(?:" + "|".join(map(re.escape, sorted(words))) + r")(?![a-z0-9]|\.[0-9])"
+
+    bodies = [re.escape(w) + rf"(?:{gap}*+(?=\n{gap}*+{after(near[w])})" + (rf"|{gap}++{word}{gap}*+(?=\n{gap}*+{after(far[w])})|{gap}*+(?=\n{gap}*+{word}{gap}++{after(far[w])})" if w in far else "") + ")" for w in sorted(near)]
+    return r"(?i)(?<![a-z0-9.])(" + "|".join(bodies) + r")\n"
+
+
 def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = 0.6) -> DataFrame:
-    """One row for each input row: key, n_paragraphs, n_license (paragraphs of a licence family), family (of the most
+    """One row for each input row: key, n_paragraphs, n_license (notices of a licence family), family (of the most
     certain one), probability, similarity (the largest share of one of that family's templates that it holds),
     confirmed (``similarity >= similar``) and families (all of them, sorted).
 
-    Paragraphs are lines with something other than blanks.  Null and empty texts have none; texts are read whole; ties
+    Paragraphs are lines with something other than blanks.  A notice is a line, or the lines over which it is wrapped:
+    those are joined where the words around a break follow each other in a template.  Null and empty texts have none; texts are read whole; ties
     in probability go to the first family in order of ``NOTICES``; repeated rows and null keys stay; other columns are
     not read.  Nothing is shuffled.
     """
@@ -219,9 +241,9 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", similar
     bias = _literal(m.bias, "array<double>")
     # column names of the input may be anything: only these two are carried
     source = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    notices = F.split(F.regexp_replace("_text", F.lit(wrap_pattern()), F.lit("$1 ")), "\n")
     source = source.withColumn("_n", F.regexp_count("_text", F.lit(r"[^\n]*[^\s][^\n]*")))
-    candidates = F.when(F.col("_text").rlike(gate), F.filter(lines, lambda x: x.rlike(gate))).otherwise(F.array().cast("array<string>"))
+    candidates = F.when(F.col("_text").rlike(gate), F.filter(notices, lambda x: x.rlike(gate))).otherwise(F.array().cast("array<string>"))
 
     def judge(paragraph: Column) -> Column:
         grams = F.array_intersect(_word_grams(paragraph), known)

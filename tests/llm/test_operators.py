@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -260,6 +261,23 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.license_scan(docs).count() == len(rows) and licenses.license_scan(empty).count() == 0
 
 
+def test_wrapped_notices_are_read_whole(spark):
+    rows, expected = [], {}
+    for family, notices in licenses.NOTICES.items():
+        for notice in notices:
+            for width in (18, 40, 72, 1000):
+                for mark in ("", "# ", " * "):
+                    wrapped = textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False)
+                    rows.append((len(rows), "River house.\n" + "\n".join(mark + line for line in wrapped) + "\nWater people.\n\nEnd"))
+                    expected[rows[-1][0]] = family
+    changed = licenses.NOTICES["MIT"][2].replace("obtaining a copy", "obtaining one copy")  # the changed word next to a break
+    rows += [(-1, changed.replace("one copy", "one\ncopy")), (-2, changed.replace("one copy", "\none copy")), (-3, "Released under the MIT License.\nLicensed under GPL v3 or later.")]
+    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (r["family"], r["n_license"], r["confirmed"], r["similarity"]) for k, r in out.items() if k >= 0} == {k: (f, 1, True, 1.0) for k, f in expected.items()}
+    assert [(out[k]["family"], out[k]["n_license"], out[k]["confirmed"]) for k in (-1, -2)] == [("MIT", 1, True)] * 2
+    assert out[-3]["n_license"] == 2 and out[-3]["families"] == ["GPL", "MIT"]
+
+
 def test_license_gate_loses_nothing():
     m = licenses.model()
     cues = re.compile(r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, m.cue_words())) + r")(?![a-z0-9])")
