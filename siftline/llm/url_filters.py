@@ -5,7 +5,7 @@ shapes.  Level by level, children that hold a small share of their parent become
 a wildcard, so that a host has few templates however many paths it has.  A small
 table of templates is then merged host by host, where sibling branches look
 alike in structure and in labels, and a template is rejected if its smoothed
-share of blocked labels is high.
+share of blocked urls is high.
 """
 
 from __future__ import annotations
@@ -89,15 +89,18 @@ def shape(path: Column) -> Column:
 def _generalised(shapes: DataFrame, settings: Settings) -> DataFrame:
     """Add ``template``: segments whose share of their parent's urls is small become ``*``, from the root down.
 
+    A segment with ``settings.strength`` labels stays, unless its parent's urls are all labelled.
+
     Each level is two aggregations and two joins on keys, which Spark can split where a host holds most shapes.
     """
     now = durable(shapes.withColumn("_segments", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn("template", F.lit("")))
     deepest = now.agg(F.max(F.size("_segments")).alias("d")).first()["d"] or 0
     for level in range(1, min(deepest, settings.depth) + 1):
         placed = now.withColumn("_here", F.get("_segments", F.lit(level - 1)))
-        children = placed.where(F.col("_here").isNotNull()).groupBy("host", "template", "_here").agg(F.sum("n").alias("_n"))
-        parents = children.groupBy("host", "template").agg(F.sum("_n").alias("_all"))
-        kept = children.join(parents, ["host", "template"]).where(F.col("_n") >= settings.least_share * F.col("_all")).select("host", "template", "_here", F.lit(True).alias("_kept"))
+        children = placed.where(F.col("_here").isNotNull()).groupBy("host", "template", "_here").agg(F.sum("n").alias("_n"), F.sum(F.col("bad") + F.col("good")).alias("_known"))
+        parents = children.groupBy("host", "template").agg(F.sum("_n").alias("_all"), F.sum("_known").alias("_all_known"))
+        stands_out = (F.col("_known") >= settings.strength) & (F.col("_all_known") < F.col("_all"))
+        kept = children.join(parents, ["host", "template"]).where((F.col("_n") >= settings.least_share * F.col("_all")) | stands_out).select("host", "template", "_here", F.lit(True).alias("_kept"))
         joined = placed.join(kept, ["host", "template", "_here"], "left")
         step = F.when(F.col("_here").isNull(), F.lit("")).when(F.col("_kept"), F.concat(F.lit("/"), "_here")).otherwise(F.lit("/*"))
         now = durable(joined.withColumn("template", F.concat("template", step)).drop("_kept", "_here"))
@@ -138,9 +141,10 @@ def _merged(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
                             r[0] = [*r[0][:level], label, *r[0][level + 1 :]]
     total: dict[tuple, list[int]] = {}
     for r in rows:
-        t = total.setdefault(tuple(r[0]), [0, 0])
-        t[0], t[1] = t[0] + r[2], t[1] + r[3]
-    purity = {k: (bad + settings.strength * settings.prior) / (bad + good + settings.strength) for k, (bad, good) in total.items()}
+        t = total.setdefault(tuple(r[0]), [0, 0, 0])
+        t[0], t[1], t[2] = t[0] + r[1], t[1] + r[2], t[2] + r[3]
+    # without any label there is the prior; else the urls without one speak against a template
+    purity = {k: (bad + settings.strength * settings.prior) / ((n if bad + good else 0) + settings.strength) for k, (n, bad, good) in total.items()}
     return pd.DataFrame({"host": group["host"].iloc[0], "template": [r[4] for r in rows], "merged": ["/" + "/".join(r[0]) for r in rows], "purity": [purity[tuple(r[0])] for r in rows]})
 
 
@@ -148,7 +152,7 @@ def url_verdicts(df: DataFrame, key: str = "page_id", url: str = "url", rules: l
     """One row for each input row: key, host, path, rule, verdict (allow or block), template and purity.
 
     A rule decides the urls that it fits; the rest follow their template: blocked if its smoothed purity, the share of
-    blocked labels, is at least ``settings.reject``.  Labels are the rules' own verdicts, or those of the column
+    blocked labels among all of its urls, is at least ``settings.reject``.  Labels are the rules' own verdicts, or those of the column
     ``label`` where that is given and not null.  A template without labels has the prior as purity.
 
     Null urls and urls without ``://`` have an empty host and path.  Repeated rows, null keys and ties are kept; other

@@ -249,6 +249,17 @@ def test_labelled_templates_are_rejected(spark):
     assert {out[500 + i]["template"] for i in range(40)} == {"/tag/*"}
 
 
+def test_few_blocked_urls_do_not_block_a_wildcard(spark):
+    rare = [f"http://big.net/{chr(97 + i // 26)}{chr(97 + i % 26)}x/p" for i in range(100)]
+    rows = [(i, u, None) for i, u in enumerate(rare)] + [(200, "http://big.net/es/a", None), (201, "http://big.net/fr/b", None)]
+    rows += [(300 + i, f"http://c.org/{chr(97 + i // 26)}{chr(97 + i % 26)}y/p", None) for i in range(300)] + [(700 + i, "http://c.org/spam/p", "block" if i < 10 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label string")
+    out = {r["page_id"]: r for r in url_filters.url_verdicts(df, label="label").collect()}
+    assert {out[i]["verdict"] for i in range(100)} == {"allow"} and {out[i]["verdict"] for i in (200, 201)} == {"block"}
+    assert {out[300 + i]["verdict"] for i in range(300)} == {"allow"}
+    assert {(out[700 + i]["verdict"], out[700 + i]["template"]) for i in range(12)} == {("block", "/spam/p")}
+
+
 def test_licenses(spark, docs, rows, empty):
     texts = ["River story.\n\nLicensed under the Apache License, Version 2.0.\nEnd", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "the general public may use the free city map", None, "", "All rights reserved."]
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(texts)], "doc_id long, text string, _found int, family string")
