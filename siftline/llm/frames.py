@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -14,15 +15,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``; only where
-    that is unset (one machine, as in tests) a temporary folder is taken."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+#: Rows of a file of numbers, where a bound of its rows is known.
+FILE_ROWS = 50_000
+
+
+def durable(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder (see ``shared_folder``).
+
+    ``most`` bounds the rows of a table of a few numbers a row, so that a small one is not written as many tiny files.
+    """
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftline-"))
-    return df.checkpoint()
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return (df if most is None else df.coalesce(max(1, -(-most // FILE_ROWS)))).checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.  Where it is unset, a temporary one if all of Spark is one process,
+    and an error on a cluster, whose machines would not see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="siftline-")
 
 
 #: Rows of an Arrow batch; Spark's own default of 10,000 holds tens of megabytes of text in each Python worker.

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from siftline.llm import bpe, jaccard, kernels, token_counts
+from siftline.llm import bpe, components, jaccard, kernels, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -117,6 +117,50 @@ def test_divide_skip_equals_brute_force():
         assert jaccard.link_sets(grams, bounds, percent).tolist() == brute(sets, percent)[0], trial
 
 
+def test_an_index_answers_foreign_queries():
+    rng = random.Random(12)
+    for _ in range(60):
+        sets = random_sets(rng, rng.randint(1, 8), rng.choice([3, 12, 60]))
+        percent = rng.choice([60, 80, 95])
+        index = jaccard.Index(*packed(sets), percent, rng.choice([0.0, 0.002, 1.0]))
+        for base in rng.sample(sets, min(3, len(sets))):
+            query = set(rng.sample(sorted(base), max(1, int(len(base) * 0.9)))) | {rng.getrandbits(64)}
+            found = index.linked(np.array(sorted(query), np.uint64))
+            assert sorted(found.tolist()) == [i for i, s in enumerate(sets) if 100 * len(s & query) >= percent * len(s | query)]
+
+
+def test_leaders_keep_every_posting_connected():
+    rng = np.random.default_rng(4)
+    leaders, rows, links = jaccard.Leaders(most=20), [], []
+    keys, sets = rng.integers(0, 60, 3000), rng.integers(1000, 1400, 3000)
+    for at in range(0, 3000, 100):
+        posting, owner, leader = leaders.split(keys[at : at + 100], sets[at : at + 100])
+        rows += [(p, o) for p, o, x in zip(posting.tolist(), owner.tolist(), leader.tolist(), strict=True) if o == x]
+        links += [(o, x) for o, x in zip(owner.tolist(), leader.tolist(), strict=True) if o != x]
+    assert len(leaders.keys) == 20 and len(rows) < 2000
+    beside = {}
+    for k, s in rows:
+        beside.setdefault(("posting", k), set()).add(s)
+    links += [(min(x), s) for x in beside.values() for s in x]
+
+    def parts(pairs):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        return {x: root(x) for x in list(up)}
+
+    every = {}
+    for k, s in zip(keys.tolist(), sets.tolist(), strict=True):
+        every.setdefault(k, []).append(s)
+    assert parts(links) == parts([(x[0], s) for x in every.values() for s in x])
+
+
 def test_postings_lose_no_link():
     """With and without common n-grams, whichever these are: few, a passage, or nearly all."""
     rng = random.Random(5)
@@ -131,3 +175,25 @@ def test_postings_lose_no_link():
         also = [set(keys[rows == i].tolist()) for i in range(len(sets))]
         for i, j in brute(sets, percent)[1]:
             assert sets[i] == sets[j] or (own[i] & own[j] and also[i] & also[j])
+
+
+def test_least_reached_equals_union_find():
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(1, 200)
+        pairs = [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(rng.randint(0, 2 * n))]
+        if rng.random() < 0.3:
+            pairs = [(i, i + 1) for i in range(n)]
+            rng.shuffle(pairs)
+        up = {}
+
+        def root(x, up=up):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+        a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        assert dict(zip(*(x.tolist() for x in components.least_reached(a, b)), strict=True)) == {x: root(x) for x in list(up)}

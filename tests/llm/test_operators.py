@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from siftline.llm import jaccard, licenses, media, mixing, packing, quality, queries, repetition, token_counts, toxicity, url_filters
+from siftline.llm import components, jaccard, licenses, media, mixing, packing, quality, queries, repetition, token_counts, toxicity, url_filters
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 CLASH = "size long, score double, length long, n int, first string, one long, posting string, k int, t string, _key int, rule string"
@@ -145,10 +145,12 @@ def shingles(t, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("block, common", [(2_000_000, 20), (60, 20), (2_000_000, 3)])
-def test_jaccard(docs, rows, empty, monkeypatch, block, common):
+@pytest.mark.parametrize("block, common, pivots", [(250_000, 20, 8), (60, 20, 8), (60, 20, 1), (250_000, 3, 8)])
+def test_jaccard(docs, rows, empty, monkeypatch, block, common, pivots):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", block)
     monkeypatch.setattr(jaccard, "COMMON_LEAST", common)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(components, "FINISH", 0 if pivots == 1 else 1_000_000)
     keyed = [(k, shingles(t, 4)) for k, t, *_ in rows if k is not None]
     up = {k: k for k, _ in keyed}
 
@@ -166,8 +168,53 @@ def test_jaccard(docs, rows, empty, monkeypatch, block, common):
     assert Counter(tuple(r) for r in jaccard.jaccard_components(docs, n=4, percent=85).collect()) == expected
     assert jaccard.jaccard_components(empty, n=4, percent=85).count() == 0
     if block > 60:
-        kept = Counter(r["doc_id"] for r in jaccard.one_of_each(docs, n=4, percent=85).collect())
-        assert set(kept) == {root(k) for k in up} | {None}
+        out = jaccard.one_of_each(docs, n=4, percent=85)
+        assert out.columns == docs.columns
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter({root(k) for k in up} | {None})
+        assert jaccard.one_of_each(empty, n=4, percent=85).count() == 0
+
+
+def test_keys_with_several_texts(spark):
+    """Rows, not keys, are copies of each other: a row stays if another text of its key goes."""
+    a, b, c = ("x%d " * 30 % tuple(range(k, k + 30)) for k in (0, 100, 200))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, b), (4, None), (4, None), (None, c), (5, ""), (6, a)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect())
+    assert kept == Counter([(1, a), (2, b), (3, c), (4, None), (4, None), (None, c), (5, "")])
+
+
+def test_large_groups_of_many_blocks(spark, monkeypatch):
+    """Chains of near copies and odd ones among a large group, cut into many blocks: no link between blocks is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 400)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    for i in range(60):  # a chain that drifts away from the base
+        base[i] = f"c{i}"
+        rows.append((1000 - i, " ".join(base)))
+    rng.shuffle(rows)
+    sets = [(k, shingles(t, 5)) for k, t in rows]
+    up = {k: k for k, _ in sets}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    assert 5 < len({root(k) for k in up}) < 150
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == {k: root(k) for k in up}
 
 
 def test_media(docs, rows, empty):
