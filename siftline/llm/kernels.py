@@ -33,17 +33,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """The powers of an odd number and of its inverse, as far as they were needed."""
+    """The powers of an odd number and of its inverse; those of a slice are kept, more are made for a long text alone."""
 
     def __init__(self, base: np.uint64, inverse: np.uint64):
         self.base, self.inverse = base, inverse
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _of(base: np.uint64, n: int) -> np.ndarray:
+        out = np.full(n, base)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64, out=out)
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > SLICE_BYTES + 1:
+            return self._of(self.base, n), self._of(self.inverse, n)
         if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.base)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.inverse)]), dtype=np.uint64)
+            size = min(SLICE_BYTES + 1, max(n, 1 << 16, 2 * len(self.up)))
+            self.up, self.down = self._of(self.base, size), self._of(self.inverse, size)
         return self.up[:n], self.down[:n]
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrays, keep_rows, map_batches
+from .frames import arrays, give_back, keep_rows, map_batches
 from .kernels import LOWER, TextSlice, mix, text_slices, words
 from .kernels import table as byte_table
 
@@ -20,10 +20,12 @@ _BREAKS = ~byte_table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows that the model is fitted on; n-grams in fewer than ``support`` of them get no
-    weight; the rest are FTRL's own constants."""
+    """``sample`` bounds the labelled rows that the model is fitted on, and ``coordinates`` the distinct coordinates of all
+    of them together (4 bytes each, in one task); n-grams in fewer than ``support`` rows get no weight; the rest are
+    FTRL's own constants."""
 
     sample: int = 12_000
+    coordinates: int = 30_000_000
     bits: int = 20
     support: int = 4
     alpha: float = 4.0
@@ -115,10 +117,17 @@ def fit(df: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text:
         return arrays(o=batch.column(0), y=batch.column(1), places=pa.array(bodies, pa.binary()))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(y, np.frombuffer(b, "<u4").astype(np.int32)) for batch in batches for y, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        examples, room = [], settings.coordinates
+        for batch in batches:
+            for y, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                room -= len(b) // 4
+                if room >= 0:
+                    examples.append((y, np.frombuffer(b, "<i4")))
         if not examples:
             return
         bias, index, weight = train(examples, settings)
+        del examples
+        give_back()
         yield arrays(place=np.concatenate([[-1], index]).astype(np.int64), weight=np.concatenate([[bias], weight]))
 
     rows = map_batches(sample, hashed, "o long, y int, places binary").repartition(1).sortWithinPartitions("o", "places").mapInArrow(learn, "place long, weight double").collect()
