@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .frames import durable
 
+#: The most sources of which a row each is broadcast.
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,6 +44,11 @@ def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return out
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """A row a source: broadcast if they are few, else joined by shuffle."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
 def balance(sized: DataFrame, goal: dict, size: str = "size", source: str = "source", tolerance: float = 1e-9, rounds: int = 30) -> dict:
     """Multipliers of the dual: for each source the logarithm of its documents' rate.
 
@@ -54,7 +61,7 @@ def balance(sized: DataFrame, goal: dict, size: str = "size", source: str = "sou
         if not held:
             break
         rates = sized.sparkSession.createDataFrame([(s, m) for s, m in held.items()], f"`{source}` string, _multiplier double")
-        tilted = sized.join(F.broadcast(rates), sized[source].eqNullSafe(rates[source])).select(rates[source].alias("s"), (F.col(size) * F.exp("_multiplier")).alias("w"))
+        tilted = sized.join(_few(rates, len(held)), sized[source].eqNullSafe(rates[source])).select(rates[source].alias("s"), (F.col(size) * F.exp("_multiplier")).alias("w"))
         mass = {r["s"]: r["w"] for r in tilted.groupBy("s").agg(F.sum("w").alias("w")).collect()}
         worst = 0.0
         for s in list(held):
@@ -91,7 +98,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     source is a source of its own, the last.  No document gets more than ``most`` copies.  A source's documents are
     rounded in groups of about ``rows_a_group``, dealt by a hash of key and row, so a source that holds most rows is
     spread over many tasks; in each group the taken words miss the rate by half a short document at most.  Repeated
-    rows are rounded one by one and reruns agree.  The number of sources must fit the driver; rows need not.
+    rows are rounded one by one and reruns agree.  ``key`` must be an integer; it is returned as long.  The number of sources must fit the driver; rows need not.
     No rows in, none out.
     """
     plain = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("_order"))
@@ -104,7 +111,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     if not rows:
         rows = [(None, 0, 0.0, 0.0, 1)]
     known = sized.sparkSession.createDataFrame(rows, "s string, source_size long, target double, _rate double, _buckets int")
-    joined = sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["s"])).drop("s").withColumn("_most", F.lit(float(most)))
+    joined = sized.join(_few(known, len(rows)), sized["source"].eqNullSafe(known["s"])).drop("s").withColumn("_most", F.lit(float(most)))
     dealt = joined.withColumn("_bucket", F.pmod(F.col("_order"), F.col("_buckets"))).drop("_buckets")
     schema = "doc_id long, source string, size long, _order long, source_size long, target double, copies long"
     mixed = dealt.groupBy("source", "_bucket").applyInPandas(_round_copies, schema).withColumn("taken", F.col("copies") * F.col("size"))
@@ -114,7 +121,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that the mix takes, each as often as it is taken, with the columns of ``df``.
 
-    Rows that agree in key and text share their copies as evenly as can be.
+    Rows that agree in key and text share their copies as evenly as can be.  Null and empty texts have size 0, owe
+    nothing and are taken as often as their source's whole copies say; rows of null key or source are mixed like others; texts are
+    read whole; columns may have any names; no rows in, none out.
     """
     # the row travels as one struct, whatever its columns are called
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("match"))

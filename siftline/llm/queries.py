@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, media, mixing, packing, quality, repetition, token_counts, toxicity, url_filters
+from . import jaccard, licenses, media, mixing, oracles, packing, quality, repetition, token_counts, toxicity, url_filters
 from .frames import table
 
 
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
