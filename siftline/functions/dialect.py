@@ -23,6 +23,9 @@ SPARK = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "explode({0})",
     "ITEMS": "size({0})",
+    "JSON_KEYS": "coalesce(json_object_keys({0}), array())",
+    "JSON_GET": "get_json_object({0}, concat('$.', {1}))",
+    "JSON_VALID": "(try_parse_json({0}) IS NOT NULL)",
     "NEIGHBOURS": "explode(transform(sequence(1, size({0}) - 1), i -> concat(element_at({0}, i), chr(1), element_at({0}, i + 1))))",
 }
 DUCKDB = {
@@ -34,6 +37,9 @@ DUCKDB = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "unnest({0})",
     "ITEMS": "len({0})",
+    "JSON_KEYS": "CASE WHEN json_valid({0}) THEN json_keys({0}) ELSE [] END",
+    "JSON_GET": "CASE WHEN json_valid({0}) THEN json_extract_string({0}, '$.' || {1}) END",
+    "JSON_VALID": "json_valid({0})",
     "NEIGHBOURS": "unnest(list_transform(generate_series(1, len({0}) - 1), lambda i: {0}[i] || chr(1) || {0}[i + 1]))",
 }
 

@@ -1,10 +1,16 @@
 """A compiler from declared document rules to Spark columns and to DuckDB SQL.
 
 A rule looks at a whole document: it is skipped where its marker of consent
-stands or where its gate does not match; comments are removed; each pattern that
-matches is counted, and each required pattern that is missing counts once.  All
+stands, where its gate does not match or where a guard does; comments are
+removed; each match of a pattern is a finding with its line, column and first
+line, and each required pattern that is missing is one without a place.  All
 rules run in one projection, gates first, so that no rule explodes lines or
-shuffles.  Patterns keep to what Java's and RE2's expressions share.
+shuffles; only findings become rows.  Patterns keep to what Java's and RE2's
+expressions share.
+
+Authors consent by a comment: ``some-words-ok`` behind code silences its line,
+alone on a line it silences the document, as ``some-words-allowed`` does
+anywhere in a comment.
 """
 
 from __future__ import annotations
@@ -21,9 +27,19 @@ from .dialect import quote
 
 #: Addresses on which everybody is served.
 ANYWHERE = r"(?:0\.0\.0\.0|\[?::\]?|\*)"
+#: A host that is not this machine.
+ELSEWHERE = r"(?:0\.0\.0\.0|\*|\[?::\]?(?:[\s:/\"',]|$)|(?:[1-9]?[0-9]|1[01][0-9]|12[0-689]|1[3-9][0-9]|2[0-9]{2})\.[0-9]+\.[0-9]+\.[0-9]+|[a-km-z][a-z0-9-]*\.[a-z0-9.-]+)"
 HASH_COMMENT = r"(?m)(?:^|[ \t])[#;][^\n]*$"
 SLASH_COMMENT = r"(?m)(?:^|[ \t])(?://|#)[^\n]*$|(?s:/\*.*?\*/)"
 XML_COMMENT = r"(?s)<!--.*?-->"
+_COMMENT = r"(?:#|//|--|;|%|<!--|/\*|\(\*|\*|!|\\)"
+#: Comments by which an author consents: to a line of code, and to the whole document.
+LINE_CONSENT = rf"(?im)^[ \t]*[^\s#/;%*!\\<-][^\n]*{_COMMENT}[^\n]*\b[a-z0-9][a-z0-9-]*-ok\b[^\n]*$"
+CONSENT = rf"(?im)^[ \t]*{_COMMENT}[^\n]*\b[a-z0-9][a-z0-9-]*-ok\b|{_COMMENT}[^\n]*\b[a-z0-9]+(?:-[a-z0-9]+)+-allowed\b"
+#: What stands before and after a match while its place is worked out.
+START, END = "\u0001", "\u0002"
+#: Characters of a match that are shown.
+SHOWN = 120
 YES, NO = "true|yes|on|1", "false|no|off|0"
 
 
@@ -50,8 +66,8 @@ def bind(key: str) -> str:
 @dataclass(frozen=True)
 class Rule:
     """``found``: patterns that are findings; ``needed``: patterns whose absence is one; ``gate``: pattern that must
-    match; ``consent``: marker that silences the rule; ``comments``: what is removed first; ``probe``: a text that the
-    rule must flag."""
+    match; ``unless``: guards, of which none may match; ``consent``: marker that silences the rule; ``comments``: what is
+    removed first; ``probe``: a text that the rule must flag; ``clean``: one that it must not."""
 
     name: str
     found: tuple[str, ...]
@@ -60,6 +76,8 @@ class Rule:
     needed: tuple[str, ...] = ()
     consent: str | None = None
     comments: str | None = HASH_COMMENT
+    unless: tuple[str, ...] = ()
+    clean: str = ""
 
 
 def _required(parts) -> set[str] | None:
@@ -111,13 +129,34 @@ def _may_match(patterns: tuple[str, ...], lowered: Column) -> Column | None:
     return condition
 
 
-def _count(rule: Rule, text: Column, lowered: Column) -> Column:
+def _places(clean: Column, pattern: str) -> Column:
+    """Line, column and first line of each match, from one replacement and a fold over the pieces between matches."""
+    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{START}$0{END}"))
+    pieces = F.split(marked, START)
+
+    def step(acc: Column, piece: Column) -> Column:
+        plain = F.translate(piece, END, "")
+        breaks = F.length(plain) - F.length(F.translate(plain, "\n", ""))
+        tail = F.length(F.substring_index(plain, "\n", -1))
+        here = F.struct(acc["line"].alias("line_no"), (acc["col"] + 1).alias("col"), F.substring_index(piece, END, 1).alias("detail"))
+        return F.struct((acc["line"] + breaks).alias("line"), F.when(breaks > 0, tail).otherwise(acc["col"] + tail).alias("col"), F.array_append(acc["found"], here).alias("found"))
+
+    begin = F.struct(F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<line_no:int,col:int,detail:string>>").alias("found"))
+    # the first piece stands before the first match
+    return F.slice(F.aggregate(pieces, begin, step, lambda acc: acc["found"]), 2, 1 << 30)
+
+
+def _findings(rule: Rule, text: Column, lowered: Column) -> Column:
+    """The findings of a rule, as an array; null where it does not apply."""
     clean = F.regexp_replace(text, rule.comments, "") if rule.comments else text
-    total = F.lit(0)
+    kind = "struct<rule:string,kind:string,line_no:int,col:int,detail:string>"
+    parts = []
     for p in rule.found:
-        total = total + F.regexp_count(clean, F.lit(p))
+        places = F.transform(_places(clean, p), lambda x: F.struct(F.lit(rule.name), F.lit("found"), x["line_no"], x["col"], F.substring(F.trim(F.substring_index(F.ltrim(x["detail"], F.lit(" \t\r\n")), "\n", 1)), 1, SHOWN)).cast(kind))
+        parts.append(F.when(clean.rlike(p), places).otherwise(F.array().cast(f"array<{kind}>")))
     for p in rule.needed:
-        total = total + F.when(clean.rlike(p), 0).otherwise(1)
+        missing = F.array(F.struct(F.lit(rule.name), F.lit("missing"), F.lit(0), F.lit(0), F.lit("")).cast(kind))
+        parts.append(F.when(clean.rlike(p), F.array().cast(f"array<{kind}>")).otherwise(missing))
     # from the cheapest to the dearest: substrings, the gate, consent; only then comments and patterns
     applies = F.lit(True)
     for patterns in ((rule.gate,) if rule.gate else (), () if rule.needed else rule.found):
@@ -127,23 +166,43 @@ def _count(rule: Rule, text: Column, lowered: Column) -> Column:
         applies = applies & text.rlike(rule.gate)
     if rule.consent:
         applies = applies & ~text.rlike(rule.consent)
-    return F.when(applies, total).otherwise(F.lit(0)).cast("bigint")
+    for p in rule.unless:
+        applies = applies & ~clean.rlike(p)
+    return F.when(applies, F.concat(*parts))
 
 
 def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of (key, rule, findings) for the rules that a document breaks."""
-    source = documents.select(F.col(key), F.col(text).alias("_text"), F.lower(text).alias("_low"))
-    counted = F.array(*(F.struct(F.lit(r.name).alias("rule"), _count(r, F.col("_text"), F.col("_low")).alias("findings")) for r in rules))
-    broken = F.filter(counted, lambda x: x["findings"] > 0)
-    return source.select(F.col(key), F.explode(broken).alias("_x")).select(key, "_x.rule", "_x.findings")
+    """Rows of (key, rule, kind, line_no, col, detail), one for each finding.
+
+    ``kind`` is found or missing; a missing one has line and column 0 and no detail.  Lines and columns (from 1) are those of the
+    text without comments, which keep their line breaks unless they are blocks.  Null and empty texts have no findings, but
+    nothing is required of them either; texts are read whole, repeated rows each have their findings, no rows in, none out.
+    """
+    plain = F.translate(F.col(text), START + END, "")
+    lowered = F.lower(F.col(text))
+    marked = lowered.contains("-ok")
+    source = documents.select(F.col(key), F.when(marked, F.regexp_replace(plain, F.lit(LINE_CONSENT), F.lit(""))).otherwise(plain).alias("_text"), lowered.alias("_low"))
+    source = source.where(~((F.col("_low").contains("-ok") | F.col("_low").contains("-allowed")) & F.col("_text").rlike(CONSENT)))
+    every = F.flatten(F.filter(F.array(*(_findings(r, F.col("_text"), F.col("_low")) for r in rules)), lambda x: x.isNotNull()))
+    return source.select(F.col(key), F.explode(every).alias("_x")).select(key, "_x.*")
 
 
 def scan_sql(rules: list[Rule], documents: str) -> str:
-    """The same rows from DuckDB; ``documents`` is a query of (doc_id, text)."""
+    """The same rows from DuckDB, where places are counted in prefixes; ``documents`` is a query of (doc_id, text)."""
     parts = []
     for r in rules:
         clean = f"regexp_replace(text, {quote(r.comments)}, '', 'g')" if r.comments else "text"
-        terms = [f"len(regexp_extract_all({clean}, {quote(p)}))" for p in r.found] + [f"CASE WHEN regexp_matches({clean}, {quote(p)}) THEN 0 ELSE 1 END" for p in r.needed]
-        where = ["true"] + ([f"regexp_matches(text, {quote(r.gate)})"] if r.gate else []) + ([f"NOT regexp_matches(text, {quote(r.consent)})"] if r.consent else [])
-        parts.append(f"SELECT doc_id, {quote(r.name)} AS rule, CAST({' + '.join(terms)} AS BIGINT) AS findings FROM docs WHERE {' AND '.join(where)}")
-    return f"WITH docs AS ({documents}) SELECT * FROM ({' UNION ALL '.join(parts)}) x WHERE findings > 0"
+        where = ["true"] + ([f"regexp_matches(text, {quote(r.gate)})"] if r.gate else []) + ([f"NOT regexp_matches(text, {quote(r.consent)})"] if r.consent else []) + [f"NOT regexp_matches({clean}, {quote(p)})" for p in r.unless]
+        name, applies = quote(r.name), " AND ".join(where)
+        for p in r.found:
+            parts.append(f"SELECT doc_id, {name} AS rule, string_split(regexp_replace({clean}, {quote(p)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS pieces, 'found' AS kind FROM docs WHERE {applies} AND regexp_matches({clean}, {quote(p)})")
+        for p in r.needed:
+            parts.append(f"SELECT doc_id, {name} AS rule, ['', ''] AS pieces, 'missing' AS kind FROM docs WHERE {applies} AND NOT regexp_matches({clean}, {quote(p)})")
+    return f"""WITH docs AS (SELECT * FROM (SELECT doc_id, regexp_replace(replace(replace(text, chr(1), ''), chr(2), ''), {quote(LINE_CONSENT)}, '', 'g') AS text FROM ({documents}) d) e WHERE NOT regexp_matches(text, {quote(CONSENT)})),
+marked AS ({' UNION ALL '.join(parts)}),
+each AS (SELECT doc_id, rule, kind, pieces, unnest(range(2, len(pieces) + 1)) AS i FROM marked),
+placed AS (SELECT doc_id, rule, kind, replace(array_to_string(pieces[1:i - 1], ''), chr(2), '') AS prefix, string_split(pieces[i], chr(2))[1] AS found FROM each)
+SELECT doc_id, rule, kind, CASE WHEN kind = 'found' THEN CAST(1 + len(prefix) - len(replace(prefix, chr(10), '')) AS INTEGER) ELSE 0 END AS line_no,
+  CASE WHEN kind = 'found' THEN CAST(1 + len(string_split(prefix, chr(10))[-1]) AS INTEGER) ELSE 0 END AS col,
+  substr(trim(string_split(ltrim(found, ' ' || chr(9) || chr(13) || chr(10)), chr(10))[1]), 1, {SHOWN}) AS detail
+FROM placed"""

@@ -128,7 +128,7 @@ CODE_RULES = [
     # compiled languages
     Rule("ada_spawn", (r"(?i)\bGNAT\.OS_Lib\.(?:Spawn|Non_Blocking_Spawn)\b",), "GNAT.OS_Lib.Spawn (P, A, S);", comments=DASHES),
     Rule("c_unbounded_copy", (r"\b(?:strcpy|strcat|sprintf|vsprintf|gets)\s*\(",), "strcpy(a, b);", comments=C_LIKE),
-    Rule("c_malloc_no_free", (r"\b(?:malloc|calloc|realloc|strdup)\s*\(",), "p = malloc(9);", needed=(r"\bfree\s*\(",), gate=r"\b(?:malloc|calloc|realloc|strdup)\s*\(", comments=C_LIKE),
+    Rule("c_malloc_no_free", (r"\b(?:malloc|calloc|realloc|strdup)\s*\(",), "p = malloc(9);", unless=(r"\bfree\s*\(",), gate=r"\b(?:malloc|calloc|realloc|strdup)\s*\(", comments=C_LIKE, clean='p = malloc(9);\nfree(p);'),
     Rule("d_mixin", (r"\bmixin\s*\(\s*[^)\s]",), "mixin(code);", comments=C_LIKE),
     Rule("nim_static_exec", (r"\b(?:staticExec|gorge|gorgeEx|execShellCmd)\s*\(?",), "staticExec(cmd)", comments=HASH),
     Rule("crystal_macro_run", (r"\{\{\s*(?:run|system)\s*\(", r"\{\{\s*`"), "{{ run(x) }}", comments=HASH),
@@ -136,7 +136,7 @@ CODE_RULES = [
     Rule("csharp_async_void", (r"\basync\s+void\s+[A-Za-z_]",), "async void Go() {}", comments=C_LIKE),
     Rule("csharp_binary_formatter", (r"\bnew\s+(?:BinaryFormatter|NetDataContractSerializer|SoapFormatter|LosFormatter|ObjectStateFormatter)\s*\(",), "new BinaryFormatter().Deserialize(s);", comments=C_LIKE),
     Rule("csharp_cert_bypass", (r"ServerCertificate(?:Custom)?ValidationCallback\s*\+?=[^;]*=>\s*true", r"DangerousAcceptAnyServerCertificateValidator"), "h.ServerCertificateCustomValidationCallback = (a, b, c, d) => true;", comments=C_LIKE),
-    Rule("csharp_open_redirect", (r"\bRedirect(?:Permanent)?\s*\(\s*(?:returnUrl|url|Request\.)",), "return Redirect(returnUrl);", needed=(r"IsLocalUrl|LocalRedirect",), gate=r"\bRedirect", comments=C_LIKE),
+    Rule("csharp_open_redirect", (r"\bRedirect(?:Permanent)?\s*\(\s*(?:returnUrl|url|Request\.)",), "return Redirect(returnUrl);", unless=(r"IsLocalUrl|LocalRedirect",), gate=r"\bRedirect", comments=C_LIKE, clean='if (Url.IsLocalUrl(returnUrl)) return Redirect(returnUrl);'),
     Rule("csharp_sql_concat", (r"new\s+SqlCommand\s*\([^;\n]*\+\s*[a-z]", r"CommandText\s*=[^;\n]*\+\s*[a-z]"), "new SqlCommand(\"a\" + id, c);", comments=r"(?m)//[^\n]*$"),
     Rule("csharp_xxe", (r"DtdProcessing\s*=\s*DtdProcessing\.Parse", r"XmlResolver\s*=\s*new\s+XmlUrlResolver"), "s.DtdProcessing = DtdProcessing.Parse;", comments=C_LIKE),
     Rule("fsharp_reflection", (r"\.GetMethod\s*\(", r"\.InvokeMember\s*\(", r"\bActivator\.CreateInstance\s*\("), "t.GetMethod(n).Invoke(o, a)", comments=C_LIKE),
@@ -158,7 +158,7 @@ CODE_RULES = [
     Rule("java_runtime_exec", (r"getRuntime\s*\(\s*\)\s*\.exec\s*\([^;\n]*\+", r"new\s+ProcessBuilder\s*\([^;\n]*\+"), "Runtime.getRuntime().exec(\"a\" + b);", comments=r"(?m)//[^\n]*$"),
     Rule("java_spel", (r"\.parseExpression\s*\(\s*[^)\s]",), "p.parseExpression(s);", comments=C_LIKE),
     Rule("java_concat_loop", (r"(?s)\b(?:for|while)\b[^{}]*\{[^{}]*\b[a-z][A-Za-z]*\s*\+=\s*[a-z\"]",), "for (;;) { out += s; }", comments=r"(?m)//[^\n]*$"),
-    Rule("java_xxe", (r"\b(?:SAXParserFactory|DocumentBuilderFactory|XMLInputFactory)\.newInstance\s*\(",), "SAXParserFactory.newInstance();", needed=(r"disallow-doctype-decl|FEATURE_SECURE_PROCESSING|SUPPORT_DTD",), gate=r"(?:SAXParserFactory|DocumentBuilderFactory|XMLInputFactory)\.newInstance", comments=None),
+    Rule("java_xxe", (r"\b(?:SAXParserFactory|DocumentBuilderFactory|XMLInputFactory)\.newInstance\s*\(",), "SAXParserFactory.newInstance();", unless=(r"disallow-doctype-decl|FEATURE_SECURE_PROCESSING|SUPPORT_DTD",), gate=r"(?:SAXParserFactory|DocumentBuilderFactory|XMLInputFactory)\.newInstance", comments=None, clean='f = SAXParserFactory.newInstance();\nf.setFeature("http://apache.org/xml/features/disallow-doctype-decl", true);'),
     Rule("kotlin_global_scope", (r"\bGlobalScope\.(?:launch|async|future|actor|produce)\b",), "GlobalScope.launch { }", comments=C_LIKE),
     Rule("kotlin_not_null", (r"[A-Za-z_)\]]!!",), "val x = y!!.z", comments=C_LIKE),
     Rule("kotlin_run_blocking", (r"(?s)\bsuspend\s+fun\b.*?\brunBlocking\b",), "suspend fun f() { runBlocking { } }", comments=C_LIKE),
@@ -172,7 +172,7 @@ CODE_RULES = [
     Rule("rust_unchecked_utf8", (r"\bfrom_utf8_unchecked\s*\(",), "str::from_utf8_unchecked(b)", comments=C_LIKE),
     Rule("rust_block_on", (r"(?s)\basync\s+fn\b.*?\bblock_on\s*\(",), "async fn f() { block_on(g()); }", comments=C_LIKE),
     Rule("rust_command_shell", (r"Command::new\s*\(\s*\"(?:sh|bash|cmd)\"\s*\)",), 'Command::new("sh").arg("-c").arg(s)', comments=r"(?m)//[^\n]*$"),
-    Rule("rust_unsafe_no_comment", (r"\bunsafe\s*\{",), "unsafe { f() }", needed=(r"(?i)SAFETY:",), gate=r"\bunsafe\s*\{", comments=None),
+    Rule("rust_unsafe_no_comment", (r"\bunsafe\s*\{",), "unsafe { f() }", unless=(r"(?i)SAFETY:",), gate=r"\bunsafe\s*\{", comments=None, clean='// SAFETY: checked above\nunsafe { f() }'),
     Rule("scala_null_return", (r"\breturn\s+null\b", r"=\s*null\s*$"), "return null", comments=C_LIKE),
     Rule("scala_toolbox", (r"\bmkToolBox\s*\(", r"\btoolbox\.(?:eval|parse|compile)\s*\("), "cm.mkToolBox().eval(t)", comments=C_LIKE),
     Rule("scala_blocking_actor", (r"\b(?:Await\.(?:result|ready)|Thread\.sleep)\s*\(",), "class A extends Actor { def receive = { case x => Await.result(f, d) } }", gate=r"\bdef\s+receive\b", comments=C_LIKE),
@@ -200,7 +200,7 @@ CODE_RULES = [
     Rule("python_mark_safe", (_call("mark_safe|SafeString"),), "mark_safe(x)", comments=PYTHON),
     Rule("python_autoescape_off", (r"\bautoescape\s*=\s*False\b",), "Environment(autoescape=False)", comments=PYTHON),
     Rule("python_mutable_default", (r"\bdef\s+[A-Za-z_0-9]+\s*\([^)]*=\s*(?:\[\s*\]|\{\s*\}|set\(\)|list\(\)|dict\(\))",), "def f(a=[]): pass", comments=PYTHON),
-    Rule("python_no_timeout", (r"\brequests\.(?:get|post|put|delete|head|patch)\s*\([^)\n]*\)",), "requests.get(u)", needed=(r"\btimeout\s*=",), gate=r"\brequests\.", comments=PYTHON),
+    Rule("python_no_timeout", (r"\brequests\.(?:get|post|put|delete|head|patch)\s*\([^)\n]*\)",), "requests.get(u)", unless=(r"\btimeout\s*=",), gate=r"\brequests\.", comments=PYTHON, clean='requests.get(u, timeout=3)'),
     Rule("python_mixed_indent", (r"(?m)^ +\t|^\t+ ",), "if x:\n \ty()", comments=None),
     Rule("python_extract_all", (r"\.extractall\s*\(", r"\bunpack_archive\s*\("), "z.extractall(p)", comments=PYTHON),
     Rule("python_template_string", (r"\brender_template_string\s*\(\s*[^)\s]", r"\bTemplate\s*\(\s*(?:request|user|[a-z_]+)\b"), "render_template_string(s)", comments=PYTHON),

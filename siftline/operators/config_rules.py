@@ -6,21 +6,22 @@ be open.  Each rule carries a probe, a text of our own that it must flag.
 
 from __future__ import annotations
 
-from ..functions.rules import ANYWHERE, NO, SLASH_COMMENT, XML_COMMENT, YES, Rule, bind, flag, setting, xml_property
+from ..functions.rules import ANYWHERE, ELSEWHERE, NO, SLASH_COMMENT, XML_COMMENT, YES, Rule, bind, flag, setting, xml_property
 
 _WEAK = "admin|password|secret|changeme|change-me|change_me|manager|root|default|test|123456"
 
 RULES = [
     Rule("activemq_default_admin", (setting("admin", "admin(?:,[^\n]*)?"), setting(r"activemq\.password|ACTIVEMQ_ADMIN_PASSWORD", _WEAK), r"(?i)<authenticationUser[^>]*password=\"admin\""), "activemq.password = admin"),
-    Rule("adguardhome_open", (setting("users", r"\[\]"), bind("bind_host")), "bind_host: 0.0.0.0\nusers: []", gate=r"(?i)adguard|bind_host"),
-    Rule("adminer_no_server_restriction", (r"(?im)^[ \t]*image:[ \t]*adminer\b",), "image: adminer:4\n# compose", needed=(r"ADMINER_DEFAULT_SERVER",), gate=r"(?i)\badminer\b", consent=r"adminer-server-restriction-ok"),
+    Rule("adguardhome_open", (rf"(?im)^[ \t]*(?:bind_host|address)[ \t]*:[ \t]*[\"']?{ANYWHERE}",), "http:\n  address: 0.0.0.0:80\nusers: []", gate=r"(?im)adguard|bind_host|^users[ \t]*:|block_auth_min|auth_attempts", unless=(r"(?im)^[ \t]*-?[ \t]*password[ \t]*:[ \t]*[\"']?[^\s\"']",), clean="bind_host: 0.0.0.0\nusers:\n- name: ops\n  password: $2y$10$abcdefgh"),
+    Rule("adguardhome_weak_users", (r"(?im)^[ \t]*-?[ \t]*password[ \t]*:[ \t]*(?:[\"']{2}|[\"']?(?:[^\s\"'$][^\n]*))?[ \t]*$", r"(?im)^[ \t]*(?:auth_attempts|block_auth_min)[ \t]*:[ \t]*0\b", r"(?im)name[ \t]*:[ \t]*[\"']?(?:admin|root|test|user|adguard)[\"']?[ \t]*\n[ \t]*password[ \t]*:[ \t]*[\"']?\$2[aby]\$0[0-9]"), "bind_host: 0.0.0.0\nusers:\n- name: a\n  password: changeme", gate=r"(?i)adguard|bind_host|block_auth_min", clean="bind_host: 0.0.0.0\nusers:\n- name: ops\n  password: $2y$10$abcdefgh"),
+    Rule("adminer_no_server_restriction", (r"(?im)^[ \t]*image:[ \t]*adminer\b",), "image: adminer:4\n# compose", unless=(r"ADMINER_DEFAULT_SERVER",), gate=r"(?i)\badminer\b", consent=r"adminer-server-restriction-ok", clean='image: adminer:4\nenvironment:\n  ADMINER_DEFAULT_SERVER: db'),
     Rule("aerospike_security_disabled", (r"(?is)security[ \t]*\{[^}]*enable-security[ \t]+false",), "security {\n enable-security false\n}", gate=r"(?i)aerospike|enable-security"),
     Rule("airflow_api_default_backend", (setting("auth_backends?|AIRFLOW__API__AUTH_BACKENDS?", r"airflow\.api\.auth\.backend\.default"),), "auth_backend = airflow.api.auth.backend.default", consent="airflow-auth-allowed"),
     Rule("airflow_fernet_key", (r"(?im)^[ \t]*fernet_key[ \t]*=[ \t]*$", setting("fernet_key|AIRFLOW__CORE__FERNET_KEY", r"[A-Za-z]*(?:changeme|placeholder|example)[^\n]*")), "fernet_key =\n"),
     Rule("airflow_expose_config", (setting("expose_config|AIRFLOW__WEBSERVER__EXPOSE_CONFIG|exposeConfig", YES),), "[webserver]\nexpose_config = True"),
     Rule("alertmanager_public_bind", (flag(r"web\.listen-address", rf"{ANYWHERE}:\d+"),), "alertmanager --web.listen-address=0.0.0.0:9093", gate=r"(?i)alertmanager"),
     Rule("ansible_host_key_checking", (setting("host_key_checking|ANSIBLE_HOST_KEY_CHECKING", NO), r"(?i)StrictHostKeyChecking[= ]no"), "[defaults]\nhost_key_checking = False"),
-    Rule("apache_mod_status_public", (r"(?im)^[ \t]*SetHandler[ \t]+server-(?:status|info)\b",), "<Location /s>\nSetHandler server-status\n</Location>", needed=(r"(?im)^[ \t]*(?:Require[ \t]+(?:ip|local|host|valid-user)|Deny[ \t]+from|AuthType)\b",), gate=r"(?i)server-(?:status|info)", consent="server-status-public-allowed"),
+    Rule("apache_mod_status_public", (r"(?im)^[ \t]*SetHandler[ \t]+server-(?:status|info)\b",), "<Location /s>\nSetHandler server-status\n</Location>", unless=(r"(?im)^[ \t]*(?:Require[ \t]+(?:ip|local|host|valid-user)|Deny[ \t]+from|AuthType)\b",), gate=r"(?i)server-(?:status|info)", consent="server-status-public-allowed", clean='<Location /s>\nSetHandler server-status\nRequire ip 10.0.0.1\n</Location>'),
     Rule("apache_options_indexes", (r"(?im)^[ \t]*Options\b[^\n]*(?:[ \t]|\+)Indexes\b",), "Options FollowSymLinks Indexes", consent="apache-indexes-allowed"),
     Rule("apache_server_signature", (r"(?im)^[ \t]*ServerSignature[ \t]+(?:On|EMail)\b", r"(?im)^[ \t]*ServerTokens[ \t]+(?:Full|OS|Major|Minor|Min)\b"), "ServerSignature On\nServerTokens Full", consent="httpd-sig-ok"),
     Rule("apache_trace_enable", (r"(?im)^[ \t]*TraceEnable[ \t]+(?:on|extended)\b",), "TraceEnable On", consent="apache-traceenable-allowed"),
@@ -37,7 +38,7 @@ RULES = [
     Rule("caddy_auto_https_off", (r"(?im)^[ \t]*auto_https[ \t]+(?:off|disable|disabled)\b", flag("auto-https", "off|disable"), setting("CADDY_AUTO_HTTPS", "off|disable[d]?|false|no|0")), "{\n auto_https off\n}", consent="caddy-auto-https-off-allowed"),
     Rule("calibre_web_default_admin", (setting("(?:CALIBRE_?WEB_)?(?:ADMIN_)?PASSWORD", "admin123"),), "ADMIN_PASSWORD=admin123", gate=r"(?i)calibre|admin123"),
     Rule("cassandra_allow_all", (r"(?m)^[ \t]*(?:authenticator|authorizer|role_manager):[ \t]*AllowAll(?:Authenticator|Authorizer|RoleManager)", r"(?m)^[ \t]*internode_encryption:[ \t]*none"), "authenticator: AllowAllAuthenticator"),
-    Rule("chronograf_no_auth", (flag("host", ANYWHERE), bind("HOST")), "chronograf --host 0.0.0.0", gate=r"(?i)chronograf", needed=(r"(?i)TOKEN_SECRET|token-secret|JWKS_URL",)),
+    Rule("chronograf_no_auth", (flag("host", ANYWHERE), bind("HOST")), "chronograf --host 0.0.0.0", gate=r"(?i)chronograf", unless=(r"(?i)TOKEN_SECRET|token-secret|JWKS_URL",), clean='chronograf --host 0.0.0.0 --token-secret=$T'),
     Rule("chrony_cmdallow_public", (r"(?m)^[ \t]*cmdallow[ \t]*(?:all|0\.0\.0\.0/0|::/0)?[ \t]*$", r"(?m)^[ \t]*bindcmdaddress[ \t]+0\.0\.0\.0"), "cmdallow all"),
     Rule("clickhouse_any_network", (r"(?i)<ip>\s*(?:::/0|0\.0\.0\.0/0)\s*</ip>", r"(?i)<host_regex>\s*(?:\^?\.\*\$?|\.\+)\s*</host_regex>", setting("ip", r"::/0|0\.0\.0\.0/0")), "<networks><ip>::/0</ip></networks>"),
     Rule("cockroachdb_insecure", (r"(?i)\bcockroach\b[^\n]*--insecure\b", setting("COCKROACH_INSECURE", YES)), "cockroach start --insecure"),
@@ -52,7 +53,7 @@ RULES = [
     Rule("django_debug", (r"(?m)^[ \t]*(?:TEMPLATE_)?DEBUG\s*(?::\s*bool\s*)?=\s*(?:True|1)[ \t]*$",), "DEBUG = True", consent="dj-debug-ok"),
     Rule("django_secret_key", (r"(?m)^[ \t]*SECRET_KEY(?:\s*:[^=\n]+)?\s*=\s*[fFrRbBuU]{0,2}['\"][^'\"\n]+['\"]",), "SECRET_KEY = 'abc123'", consent="secret-key-ok"),
     Rule("dnsmasq_no_local_service", (), "dnsmasq --no-daemon", gate=r"(?im)(?:^|[\s\"'])dnsmasq[ \t]+-", needed=(r"(?im)local-service|--interface[= ]|^[ \t]*interface[ \t]*=|listen-address[= ]127\.",), consent="dnsmasq-no-local-service-allowed"),
-    Rule("docker_daemon_tcp", (r"(?i)\"hosts\"\s*:\s*\[[^\]]*\"tcp://", r"(?i)tcp://[^\"\s]*:2375"), '{"hosts": ["tcp://0.0.0.0:2375"]}', needed=(r"(?i)tlsverify|tlscacert",), gate=r"(?i)docker|tcp://"),
+    Rule("docker_daemon_tcp", (r"(?i)\"hosts\"\s*:\s*\[[^\]]*\"tcp://", r"(?i)tcp://[^\"\s]*:2375"), '{"hosts": ["tcp://0.0.0.0:2375"]}', unless=(r"(?i)tlsverify|tlscacert",), gate=r"(?i)docker|tcp://", clean='{"hosts": ["tcp://0.0.0.0:2376"], "tlsverify": true}'),
     Rule("dockerfile_add_url", (r"(?m)^[ \t]*ADD[ \t]+(?:[^-\n][^\n]*)?(?:https?|ftp)://[^\s]+",), "ADD https://example.org/a.tgz /opt/"),
     Rule("dockerfile_latest_tag", (r"(?m)^[ \t]*FROM[ \t]+[^\s:@]+(?::latest)?(?:[ \t]+AS[ \t]+[^\s]+)?[ \t]*$",), "FROM ubuntu:latest\nRUN x"),
     Rule("dockerfile_root_user", (r"(?m)^[ \t]*USER[ \t]+(?:root|0)\b",), "FROM a:1\nUSER root", gate=r"(?m)^[ \t]*FROM[ \t]+[^\s]+", consent="docker-root-ok"),
@@ -61,13 +62,13 @@ RULES = [
     Rule("drone_weak_secret", (r"(?i)DRONE_(?:RPC|AGENT|RUNNER)_SECRET[ \t]*[:=][ \t]*[\"']?(?:secret|changeme|password|drone|bea26a2221fd8090ea38720fc445eca6|[a-z0-9]{1,11})[\"']?(?:\s|$)",), "DRONE_RPC_SECRET=secret"),
     Rule("druid_allow_all", (r"(?im)druid[._]auth[._]authenticatorChain[\"']?[ \t]*[:=][ \t]*\[?[ \t]*[\"']?allowAll", r"(?im)^[ \t]*authenticatorChain[ \t]*:[ \t]*\[?[ \t]*[\"']?allowAll"), 'druid.auth.authenticatorChain=["allowAll"]'),
     Rule("emqx_anonymous", (setting(r"(?:mqtt\.)?allow_anonymous|EMQX_(?:MQTT__)?ALLOW_ANONYMOUS", YES), setting("authentication", r"\[\s*\]")), "allow_anonymous = true"),
-    Rule("etcd_no_client_auth", (rf"(?i)listen-client-urls[ =:]+[\"']?http://{ANYWHERE}", flag("client-cert-auth", "false"), setting("client-cert-auth", "false"), flag("auth-token", "simple")), "etcd --listen-client-urls http://0.0.0.0:2379 --client-cert-auth=false"),
+    Rule("etcd_no_client_auth", (rf"(?im)^[ \t]*[\"']?(?:listen|advertise)-client-urls[\"']?[ \t]*:[^\n]*http://{ELSEWHERE}", rf"(?i)--listen-client-urls[= ][\"']?http://{ELSEWHERE}"), "listen-client-urls: http://0.0.0.0:2379", gate=rf"(?im)(?:listen|advertise)-client-urls[\"']?[ \t]*[:= ][^\n]*https?://{ELSEWHERE}", needed=(r"(?is)client-transport-security[\"']?[ \t]*:.*?client-cert-auth[\"']?[ \t]*:[ \t]*[\"']?true|--client-cert-auth(?:=true|[ \t]|$)", r"(?i)cert-file"), clean="listen-client-urls: https://10.0.0.1:2379\nclient-transport-security:\n  cert-file: /a\n  client-cert-auth: true"),
     Rule("filebrowser_no_auth", (r"(?i)\"(?:auth\.)?method\"\s*:\s*\"noauth\"", setting(r"(?:auth\.)?method|FB_AUTH_METHOD", "noauth"), r"(?i)filebrowser\b[^\n]*--noauth\b"), "filebrowser --noauth"),
     Rule("firebase_public_rules", (r"\ballow\s+[a-z]+(?:\s*,\s*[a-z]+)*\s*:\s*if\s+true\b", r"\"\s*\.(?:read|write)\s*\"\s*:\s*(?:true|\"true\")"), "allow read, write: if true;", consent="fb-rules-public-ok", comments=SLASH_COMMENT),
     Rule("firefly_default_key", (setting("APP_KEY", "SomeRandomStringOf32CharsExactly|changeme[^\n]*"),), "APP_KEY=SomeRandomStringOf32CharsExactly"),
     Rule("flink_public", (bind(r"rest\.bind-address|rest\.address|jobmanager\.bind-host"),), "rest.bind-address: 0.0.0.0", gate=r"(?i)flink|jobmanager|rest\.bind"),
     Rule("fluentd_no_shared_key", (), "<source>\n @type forward\n</source>", gate=r"(?is)<source\b[^>]*>[^<]*type\s+forward", needed=(r"(?im)^[ \t]*shared_key[ \t]+[^\s]",)),
-    Rule("freeradius_default_secret", (setting("secret", "testing123|radius|secret|changeme"),), "client x {\n secret = testing123\n}"),
+    Rule("freeradius_default_secret", (setting("secret|(?:FREE)?RADIUS_(?:CLIENT_)?SECRET|RADSEC_SECRET", "testing123|radius|secret|changeme|password|admin"),), "client x {\n secret = testing123\n}", gate=r"(?i)radius|radsec|client[ \t]+[^\s{]+[ \t]*\{|home_server", unless=(r"(?is)^\s*client[ \t]+localhost[ \t]*\{[^{}]*\}\s*\z",), clean="client localhost {\n ipaddr = 127.0.0.1\n secret = testing123\n}"),
     Rule("gerrit_become_any", (r"(?i)\btype[ \t]*=[ \t]*DEVELOPMENT_BECOME_ANY_ACCOUNT\b",), "[auth]\ntype = DEVELOPMENT_BECOME_ANY_ACCOUNT", consent="gerrit-development-auth-allowed"),
     Rule("gitea_install_lock", (setting("INSTALL_LOCK|GITEA__security__INSTALL_LOCK", NO),), "APP_NAME = gitea\n[security]\nINSTALL_LOCK = false", gate=r"(?i)gitea|APP_NAME"),
     Rule("gitlab_runner_privileged", (setting("privileged", "true"), flag("docker-privileged")), "[runners.docker]\n  privileged = true", gate=r"(?i)runners?\b"),
@@ -83,12 +84,13 @@ RULES = [
     Rule("haproxy_stats_no_auth", (r"(?im)^[ \t]*stats[ \t]+admin[ \t]+if[ \t]+(?:TRUE|1)\b",), "listen stats\n stats enable\n stats admin if TRUE", gate=r"(?im)^[ \t]*stats[ \t]+(?:enable|uri)\b", needed=(r"(?im)^[ \t]*stats[ \t]+(?:auth[ \t]+[^\s]+:|http-request[ \t]+auth)",)),
     Rule("harbor_csrf_key_empty", (r"(?im)^csrf_key[ \t]*:[ \t]*(?:[\"']{2})?[ \t]*$",), "harbor_admin_password: x\ncsrf_key:\n", consent="harbor-csrf-key-allowed"),
     Rule("hasura_no_admin_secret", (setting("HASURA_GRAPHQL_ENABLE_CONSOLE", YES),), "image: hasura/graphql-engine:v2\nHASURA_GRAPHQL_ENABLE_CONSOLE: true", gate=r"(?i)hasura", needed=(r"HASURA_GRAPHQL_ADMIN_SECRET",)),
-    Rule("hbase_simple_auth", (xml_property(r"hbase\.security\.authentication", "simple"),), "<property><name>hbase.security.authentication</name><value>simple</value></property>", consent="hbase-auth-allowed", comments=XML_COMMENT),
-    Rule("headscale_no_acl", (), "server_url: http://h\nlisten_addr: 0.0.0.0:8080", gate=r"(?im)^[ \t]*server_url[ \t]*:", needed=(r"(?im)^[ \t]*(?:acl_policy_path|policy|\"?acls\"?)[ \t]*:",)),
+    Rule("hbase_simple_auth", (xml_property(r"hbase\.security\.authentication", "simple"),), "<property><name>hbase.security.authentication</name><value>simple</value></property>", consent="hbase-auth-allowed", comments=XML_COMMENT, unless=(xml_property(r"hbase\.(?:master|regionserver)\.ipc\.address", r"127\.[0-9.]+|::1|localhost"), r"(?is)hbase\.cluster\.distributed\s*</name>\s*<value>\s*false.*hbase\.zookeeper\.quorum\s*</name>\s*<value>\s*(?:127\.|localhost)"), clean="<property><name>hbase.security.authentication</name><value>kerberos</value></property>"),
+    Rule("headscale_no_acl", (r"(?is)\"?acls\"?[ \t]*:[^\]]*\"?src\"?[ \t]*:[ \t]*\[[ \t]*[\"']\*[\"'][ \t]*\][^\]]*\"?dst\"?[ \t]*:[ \t]*\[[ \t]*[\"']\*(?::\*)?[\"']",), "acls: [{action: accept, src: [\"*\"], dst: [\"*:*\"]}]", gate=r"(?i)acls|headscale", clean="acls: [{action: accept, src: [\"group:a\"], dst: [\"tag:b:22\"]}]"),
+    Rule("headscale_no_policy", (r"(?im)headscale[^\n]*--policy[= ][\"']{2}",), "server_url: http://h\nlisten_addr: 0.0.0.0:8080", gate=r"(?ims)^[ \t]*server_url[ \t]*:.*^[ \t]*(?:listen_addr|private_key_path|database|db_type)[ \t]*:|^[ \t]*(?:listen_addr|private_key_path|database|db_type)[ \t]*:.*^[ \t]*server_url[ \t]*:", needed=(r"(?ims)^[ \t]*acl_policy_path[ \t]*:[ \t]*[\"']?[^\s\"'#]|^[ \t]*policy[ \t]*:.*^[ \t]+path[ \t]*:[ \t]*[\"']?[^\s\"'#]",), clean="server_url: http://h\nlisten_addr: a\npolicy:\n  mode: file\n  path: /etc/p.hujson"),
     Rule("hedgedoc_default_secret", (setting("CMD_SESSION_SECRET|sessionSecret", "secret|changeme|hedgedoc|session_secret"),), "CMD_SESSION_SECRET=changeme"),
     Rule("hive_no_authentication", (xml_property(r"hive\.server2\.authentication", "NONE|NOSASL"),), "<property><name>hive.server2.authentication</name><value>NONE</value></property>", consent="hive-auth-allowed", comments=XML_COMMENT),
-    Rule("influxdb_auth_disabled", (setting("auth-enabled|INFLUXDB_HTTP_AUTH_ENABLED", NO),), "[http]\nauth-enabled = false", consent="influxdb-auth-disabled-allowed"),
-    Rule("jaeger_collector_open", (r"(?i)--collector\.(?:grpc-server|otlp\.grpc)\.host-port[= ][\"']?(?:0\.0\.0\.0|::|\*)?:(?:14250|4317)",), "--collector.grpc-server.host-port=0.0.0.0:14250", needed=(r"(?i)\.tls\.(?:enabled|client-ca)",), gate=r"(?i)collector\."),
+    Rule("influxdb_auth_disabled", (setting("auth-enabled|INFLUXDB_HTTP_AUTH_ENABLED", NO),), "[http]\nauth-enabled = false", unless=(r"(?im)^[ \t]*bind-address[ \t]*=[ \t]*[\"']?(?:127\.|localhost|\[::1\])", r"(?ims)^[ \t]*\[http\][^\[]*^[ \t]*enabled[ \t]*=[ \t]*false"), clean="[http]\nauth-enabled = false\nbind-address = '127.0.0.1:8086'"),
+    Rule("jaeger_collector_open", (r"(?i)--collector\.(?:grpc-server|otlp\.grpc)\.host-port[= ][\"']?(?:0\.0\.0\.0|::|\*)?:(?:14250|4317)",), "--collector.grpc-server.host-port=0.0.0.0:14250", unless=(r"(?i)\.tls\.(?:enabled|client-ca)",), gate=r"(?i)collector\.", clean='--collector.grpc-server.host-port=0.0.0.0:14250 --collector.grpc.tls.enabled=true'),
     Rule("jenkins_anonymous_read", (r"AuthorizationStrategy\$Unsecured", r"(?i)<denyAnonymousReadAccess>\s*false"), '<authorizationStrategy class="hudson.security.AuthorizationStrategy$Unsecured"/>', consent="jenkins-anon-ok", comments=None),
     Rule("jenkins_csrf_disabled", (r"(?i)DISABLE_CSRF_PROTECTION\s*=\s*true\b", r"\.setCrumbIssuer\s*\(\s*null\s*\)", r"(?i)<useCrumbs>\s*false"), "-Dhudson.security.csrf.GlobalCrumbIssuerConfiguration.DISABLE_CSRF_PROTECTION=true"),
     Rule("jenkins_script_security", (r"(?i)\bsandbox[ \t]*[:=]?[ \t]*false\b", r"(?i)\buseScriptSecurity\s*[:(=]\s*false", r"(?i)permissive-script-security\.enabled\s*=\s*true"), "useScriptSecurity: false"),
@@ -113,19 +115,19 @@ RULES = [
     Rule("longhorn_default_login", (r"(?i)\bhtpasswd[ \t]+-[bcnB]+[ \t]+[^\s]+[ \t]+admin[ \t]+admin\b", setting("auth", r"admin:[^\s'\"]+")), "# longhorn-frontend\nhtpasswd -bc auth admin admin", gate=r"(?i)longhorn", comments=None),
     Rule("mysql_skip_grant_tables", (r"(?im)^[ \t]*skip[-_]grant[-_]tables(?:[ \t]*=[ \t]*(?:1|true|on|yes))?[ \t]*$", flag("skip[-_]grant[-_]tables"), setting("(?:MYSQL|MARIADB)_ALLOW_EMPTY(?:_ROOT)?_PASSWORD", YES), r"(?i)SET[ \t]+GLOBAL[ \t]+skip_grant_tables"), "[mysqld]\nskip-grant-tables"),
     Rule("meilisearch_no_master_key", (r"(?im)^[ \t]*(?:export[ \t]+|-[ \t]+)?MEILI_MASTER_KEY[ \t]*[:=][ \t]*(?:[\"']{2})?[ \t]*$", setting("MEILI_ENV", "development")), "MEILI_MASTER_KEY=\nMEILI_HTTP_ADDR=0.0.0.0:7700", consent="meili-no-master-key-allowed"),
-    Rule("memcached_listen_all", (r"(?im)(?:^|[\s\"'])(?:-l|--listen)[\s\"',=]+[\"']?0\.0\.0\.0",), "memcached -l 0.0.0.0", gate=r"(?i)memcache", needed=(r"(?m)(?:^|[\s\"'])-S(?:[\s\"',]|$)",)),
+    Rule("memcached_listen_all", (r"(?im)(?:^|[\s\"'])(?:-l|--listen)[\s\"',=]+[\"']?0\.0\.0\.0",), "memcached -l 0.0.0.0", gate=r"(?i)memcache", unless=(r"(?m)(?:^|[\s\"'])-S(?:[\s\"',]|$)",), clean='memcached -l 0.0.0.0 -S'),
     Rule("metabase_weak_key", (r"(?im)^[ \t]*(?:export[ \t]+|-[ \t]+)?MB_ENCRYPTION_SECRET_KEY[ \t]*[:=][ \t]*[\"']?[^\s\"']{0,15}[\"']?[ \t]*$",), "MB_ENCRYPTION_SECRET_KEY=short", consent="metabase-encryption-secret-key-ok"),
     Rule("milvus_authorization_off", (setting("authorizationEnabled|MILVUS_COMMON_SECURITY_AUTHORIZATION_?ENABLED", NO), r"(?i)--set[ \t]+[^\s]*authorizationEnabled=(?:false|0|no|off)"), "authorizationEnabled: false"),
     Rule("mimir_multitenancy_off", (setting("multitenancy_enabled", NO), flag(r"auth\.multitenancy-enabled", NO)), "multitenancy_enabled: false", consent="multitenancy-disabled-allowed|single-tenant-ok"),
     Rule("miniflux_default_admin", (setting("ADMIN_PASSWORD", _WEAK + "|test123|miniflux"),), "CREATE_ADMIN=1\nADMIN_PASSWORD=test123", gate=r"(?i)miniflux|CREATE_ADMIN"),
     Rule("minio_default_credentials", (setting("MINIO_(?:ROOT_USER|ROOT_PASSWORD|ACCESS_KEY|SECRET_KEY)|rootUser|rootPassword|accessKey|secretKey", "minioadmin|minio|minio123|admin|password"), r"(?i)\bmc\b[^\n]*alias[ \t]+set[ \t]+[^\s]+[ \t]+[^\s]+[ \t]+minioadmin[ \t]+minioadmin"), "MINIO_ROOT_USER=minioadmin", consent="minio-default-creds-allowed"),
     Rule("mongodb_open", (setting("bindIp", r"0\.0\.0\.0"), setting("bindIpAll", "true"), setting("authorization", "disabled")), "net:\n  bindIp: 0.0.0.0\nsecurity:\n  authorization: disabled"),
-    Rule("mosquitto_anonymous", (r"(?im)^[ \t]*allow_anonymous[ \t]+true\b", r"(?im)^[ \t]*anonymous[ \t]+yes\b", setting("(?:MOSQUITTO|MQTT|HIVEMQ)_ALLOW_ANONYMOUS", "true")), "listener 1883\nallow_anonymous true", consent="mqtt-anon(?:ymous-allowed|-ok)"),
+    Rule("mosquitto_anonymous", (r"(?im)^[ \t]*allow_anonymous[ \t]+true\b",), "listener 1883\nallow_anonymous true", unless=(r"(?im)^[ \t]*(?:password_file|psk_file|auth_plugin|plugin)[ \t]|require_certificate[ \t]+true", r"(?im)^[ \t]*(?:bind_address|listener[ \t]+[0-9]+)[ \t]+(?:127\.|localhost|::1)"), clean="listener 1883 127.0.0.1\nallow_anonymous true"),
     Rule("mysql_local_infile", (setting("local[_-]infile", YES), flag("local[_-]infile")), "[mysqld]\nlocal_infile = ON", consent="mysql-local-infile-allowed"),
     Rule("n8n_basic_auth_off", (setting("N8N_BASIC_AUTH_ACTIVE", NO), setting("N8N_USER_MANAGEMENT_DISABLED", YES)), "N8N_BASIC_AUTH_ACTIVE=false", consent="n8n-basic-auth-disabled-ok"),
     Rule("nacos_default_credentials", (r"://nacos:nacos@", r"(?m)(?:^|\s)-u[ \t]+['\"]?nacos:nacos", setting("[A-Za-z0-9_.-]*password", "nacos"), setting(r"nacos\.core\.auth\.enabled|NACOS_AUTH_ENABLE", "false")), "# nacos\nspring.cloud.nacos.password=nacos", gate=r"(?i)nacos"),
     Rule("neo4j_default_password", (setting(r"dbms\.security\.auth_enabled", NO), r"(?i)NEO4J_AUTH[ \t]*[:=][ \t]*[\"']?(?:none|neo4j/neo4j)\b", r"(?i)cypher-shell\b[^\n]*-u[ \t]+neo4j\b[^\n]*-p[ \t]+neo4j\b"), "NEO4J_AUTH=neo4j/neo4j"),
-    Rule("netdata_public_bind", (r"(?im)^[ \t]*bind to[ \t]*=[ \t]*(?:0\.0\.0\.0|\*|::)",), "[web]\nbind to = 0.0.0.0"),
+    Rule("netdata_public_bind", (r"(?im)^[ \t]*bind to[ \t]*=[^\n]*(?:0\.0\.0\.0|\*|\[?::\]?(?:[ \t:]|$))", r"(?im)netdata\b[^\n]*[\s\"'](?:-i|--bind)[\s\"',=]+(?:0\.0\.0\.0|\*|::)", r"(?is)netdata/netdata.*?[\"' -](?:0\.0\.0\.0:)?19999:19999"), "[web]\nbind to = 0.0.0.0", clean="[web]\nbind to = 127.0.0.1"),
     Rule("nextcloud_trusted_wildcard", (r"(?is)trusted_domains['\"]?\s*=>\s*(?:array\s*\(|\[)[^)\]]*['\"]\*['\"]", setting("NEXTCLOUD_TRUSTED_DOMAINS", r"\*")), "'trusted_domains' => ['*'],", comments=SLASH_COMMENT),
     Rule("nexus_default_admin", (setting(r"NEXUS_SECURITY_INITIAL_PASSWORD|nexus\.security\.initialPassword", _WEAK + "|admin123"), setting(r"NEXUS_SECURITY_RANDOMPASSWORD|nexus\.security\.randompassword", "false|no|0")), "NEXUS_SECURITY_RANDOMPASSWORD=false", consent="nexus-default-admin-allowed"),
     Rule("nfs_no_root_squash", (r"(?m)^[^\s#]+[^\n]*\([^)\n]*\bno_root_squash\b",), "/srv *(rw,no_root_squash)", consent="nfs-no-root-squash-allowed"),
@@ -133,7 +135,7 @@ RULES = [
     Rule("nginx_server_tokens", (r"(?im)^[ \t]*server_tokens[ \t]+(?:on|build)[ \t]*;",), "http {\n server_tokens on;\n}", consent="ngx-tokens-ok", comments=r"(?m)#[^\n]*$"),
     Rule("oauth2_proxy_skip_all", (r"(?i)skip[-_]auth[-_](?:regex|routes?)[ \t]*[:= ][ \t]*\[?[\"']?\^?(?:/?\.\*|/)\$?[\"']?",), "--skip-auth-regex=.*"),
     Rule("ollama_public_bind", (r"(?i)OLLAMA_HOST[ \t]*[:= ][ \t]*[\"']?(?:http://)?(?:0\.0\.0\.0|\[?::\]?)",), "OLLAMA_HOST=0.0.0.0"),
-    Rule("openldap_anonymous_bind", (r"(?im)^[ \t]*allow[ \t]+[^\n]*bind_anon",), 'database mdb\nallow bind_anon_cred', gate=r"(?i)database[ \t]+(?:mdb|hdb|bdb)|suffix|rootdn|olc"),
+    Rule("openldap_anonymous_bind", (r"(?im)^[ \t]*allow[ \t]+[^\n]*bind_anon",), "database mdb\nsuffix \"dc=a\"", gate=r"(?im)^[ \t]*database[ \t]+(?:mdb|hdb|bdb|ldif)|^olcDatabase[ \t]*:|^objectClass:[ \t]*olc|(?:^|[\s\"'/])slapd[\"',]*[ \t]+[\"']?-", needed=(r"(?im)^[ \t]*disallow[ \t]+[^\n]*bind_anon|^[ \t]*require[ \t]+[^\n]*(?:authc|strong|sasl)|olcDisallows[ \t]*:[^\n]*bind_anon|olcRequires[ \t]*:[^\n]*(?:authc|strong|sasl)|disallow=bind_anon",), clean="database mdb\ndisallow bind_anon"),
     Rule("opensearch_security_off", (setting(r"plugins\.security\.disabled|opensearch_security\.disabled|DISABLE_SECURITY_PLUGIN", "true"), setting(r"plugins\.security\.ssl\.http\.enabled", "false")), "plugins.security.disabled: true", consent="os-sec-ok"),
     Rule("openvpn_client_to_client", (r"(?im)^[ \t]*(?:client-to-client|duplicate-cn|verify-client-cert[ \t]+none|client-cert-not-required)\b",), "server 10.8.0.0 255.255.255.0\nclient-to-client", gate=r"(?im)^[ \t]*(?:server|server-bridge|mode[ \t]+server|tls-server)\b", consent="openvpn-c2c-allowed"),
     Rule("outline_default_secret", (setting("SECRET_KEY|UTILS_SECRET", "generate_a_new_key|changeme|secret"),), "SECRET_KEY=generate_a_new_key"),
@@ -155,7 +157,7 @@ RULES = [
     Rule("powerdns_weak_key", (setting("api-key", _WEAK + "|powerdns|pdns|[A-Za-z0-9]{1,7}"),), "api=yes\napi-key=secret", consent="powerdns-api-ok"),
     Rule("proftpd_anonymous", (r"(?im)^[ \t]*<[ \t]*Anonymous\b",), "<Anonymous ~ftp>\n</Anonymous>", consent="proftpd-anonymous-allowed"),
     Rule("prometheus_admin_api", (flag(r"web\.enable-admin-api"), flag(r"web\.enable-lifecycle")), "prometheus --web.enable-admin-api"),
-    Rule("pushgateway_open", (r"(?im)9091:9091",), "image: prom/pushgateway\n- 9091:9091", gate=r"(?i)pushgateway", needed=(r"(?i)web\.config\.file",)),
+    Rule("pushgateway_open", (r"(?im)(?:^|[\s\"'-])(?:0\.0\.0\.0:)?9091:9091", r"(?i)--web\.listen-address[= ][\"']?(?:0\.0\.0\.0)?:[0-9]+", r"(?is)type[ \t]*:[ \t]*(?:LoadBalancer|NodePort).*\b9091\b"), "image: prom/pushgateway\n- 9091:9091", gate=r"(?i)pushgateway", unless=(r"(?i)web\.config\.file",), clean='image: prom/pushgateway\nargs: [--web.config.file=/a]\n- 9091:9091'),
     Rule("prosody_no_encryption", (setting("c2s_require_encryption|s2s_require_encryption|require_encryption", "false"),), 'VirtualHost "x"\nc2s_require_encryption = false', comments=r"(?m)--[^\n]*$"),
     Rule("pulsar_auth_disabled", (setting("(?:PULSAR_PREFIX_)?(?:authenticationEnabled|authorizationEnabled)", NO),), "authenticationEnabled=false"),
     Rule("puppet_autosign", (setting("autosign", "true"),), "[master]\nautosign = true", gate=r"(?im)^[ \t]*\[(?:master|server|main)\]"),
@@ -166,7 +168,7 @@ RULES = [
     Rule("redis_bind_all", (r"(?im)^[ \t]*bind[ \t]+[^\n]*(?:0\.0\.0\.0|\*)",), "bind 0.0.0.0", consent="redis-bind-all-allowed"),
     Rule("redis_no_password", (r"(?im)^[ \t]*protected-mode[ \t]+no\b",), "bind 0.0.0.0\nprotected-mode no", gate=r"(?im)^[ \t]*(?:bind|protected-mode)[ \t]", needed=(r"(?im)^[ \t]*(?:requirepass[ \t]+[^\s]|user[ \t]+[^\s])",), consent="redis-no-auth-allowed"),
     Rule("redis_protected_mode", (r"(?im)^[ \t]*protected-mode[ \t]+no\b", flag("protected-mode", "no"), r"(?i)CONFIG[ \t]+SET[ \t]+protected-mode[ \t]+[\"']?no\b"), "redis-server --protected-mode no"),
-    Rule("redpanda_no_sasl", (setting("enable_sasl", NO),), "kafka_api:\n- address: 0.0.0.0\nenable_sasl: false", gate=r"(?i)redpanda|kafka_api"),
+    Rule("redpanda_no_sasl", (setting("enable_sasl", NO), r"(?im)enable_sasl=[\"']?false\b"), "redpanda:\n  enable_sasl: false", gate=r"(?i)redpanda|kafka_api", unless=(r"(?i)require_client_auth[ \t]*:[ \t]*true",), clean="redpanda:\n  enable_sasl: true"),
     Rule("rethinkdb_bind_all", (flag("bind", "all"), setting("bind", "all")), "rethinkdb --bind all", gate=r"(?i)rethinkdb|bind"),
     Rule("rsyncd_no_auth", (), "[data]\npath = /d\nread only = no", gate=r"(?im)^[ \t]*path[ \t]*=", needed=(r"(?im)^[ \t]*auth users[ \t]*=",), consent="rsyncd-no-auth-allowed"),
     Rule("rundeck_default_admin", (r"(?im)^[ \t]*admin[ \t]*:[ \t]*admin[ \t]*,", setting(r"RUNDECK_ADMIN_PASSWORD|RD_ADMIN_PASSWORD|framework\.server\.password", "admin|password")), "admin:admin,user,admin", consent="rundeck-default-admin-allowed"),
@@ -175,13 +177,14 @@ RULES = [
     Rule("scylla_allow_all", (r"(?i)authenticator[ \t]*[:=][ \t]*[\"']?AllowAllAuthenticator", r"(?i)authorizer[ \t]*[:=][ \t]*[\"']?AllowAllAuthorizer"), "authenticator: AllowAllAuthenticator"),
     Rule("searxng_default_secret", (setting("secret_key|SEARXNG_SECRET", "ultrasecretkey|changeme|secret"),), 'secret_key: "ultrasecretkey"'),
     Rule("sentry_default_secret", (setting(r"system\.secret-key|SENTRY_SECRET_KEY", r"!!changeme!!|changeme|please-change[^\n]*|secret"),), "system.secret-key: '!!changeme!!'"),
-    Rule("sftpgo_default_admin", (r"(?i)\"?create_default_admin\"?[ \t]*:[ \t]*true", setting("SFTPGO_DATA_PROVIDER__CREATE_DEFAULT_ADMIN", YES)), '{"create_default_admin": true}'),
+    Rule("sftpgo_default_admin", (r"(?i)\"?create_default_admin\"?[ \t]*:[ \t]*true", setting("SFTPGO_DATA_PROVIDER__CREATE_DEFAULT_ADMIN", YES)), '{"create_default_admin": true}', unless=(r"(?i)default_admin_password[\"']?[ \t]*[:=][ \t]*[\"']?[^\s\"']{12,}",), clean='{"create_default_admin": true, "default_admin_password": "h7Kq29vXwLm3"}'),
+    Rule("sftpgo_default_password", (r"(?i)default_admin_password[\"']?[ \t]*[:=][ \t]*[\"']?(?:password|admin|sftpgo|changeme|change_me|please_change_me|secret)[\"']?[ \t,]*(?:$|\n|\})",), "SFTPGO_DEFAULT_ADMIN_PASSWORD=password\n", clean="SFTPGO_DEFAULT_ADMIN_PASSWORD=h7Kq29vXwLm3\n"),
     Rule("slurm_auth_none", (setting("authtype", r"auth/none|none"),), "AuthType=auth/none"),
     Rule("snmp_public_community", (r"(?im)^[ \t]*r[ow]community6?[ \t]+(?:public|private)\b", r"(?im)^[ \t]*com2sec6?[ \t]+[^\s]+[ \t]+[^\s]+[ \t]+(?:public|private)\b", r"(?im)^[ \t]*snmp-server[ \t]+community[ \t]+(?:public|private)\b"), "rocommunity public", consent="snmp-pub(?:lic-allowed|-ok)"),
     Rule("solr_block_unknown", (r"(?i)\"blockUnknown\"\s*:\s*false",), '{"class": "solr.BasicAuthPlugin", "blockUnknown": false}'),
-    Rule("solr_jmx_open", (setting("ENABLE_REMOTE_JMX_OPTS", "true"),), 'ENABLE_REMOTE_JMX_OPTS="true"', needed=(r"(?i)jmxremote\.authenticate\s*=\s*true",), gate=r"ENABLE_REMOTE_JMX_OPTS", consent="solr-jmx-no-auth-allowed"),
+    Rule("solr_jmx_open", (setting("ENABLE_REMOTE_JMX_OPTS", "true"),), 'ENABLE_REMOTE_JMX_OPTS="true"', unless=(r"(?i)jmxremote\.(?:authenticate\s*=\s*true|password\.file\s*=|access\.file\s*=)",), gate=r"ENABLE_REMOTE_JMX_OPTS", consent="solr-jmx-no-auth-allowed", clean='ENABLE_REMOTE_JMX_OPTS="true"\nRMI="-Dcom.sun.management.jmxremote.password.file=/p"'),
     Rule("sonarqube_default_admin", (r"(?i)(?:-u|--user)[ =]+['\"]?admin:admin\b", setting(r"SONAR_ADMIN_PASSWORD|sonar\.login|sonar\.password|SONAR_TOKEN", "admin"), r"Basic[ \t]+YWRtaW46YWRtaW4="), "curl -u admin:admin http://sonar"),
-    Rule("spark_authenticate_off", (setting(r"spark\.authenticate", "false"),), "spark.authenticate false", consent="spark-auth-allowed"),
+    Rule("spark_authenticate_off", (setting(r"spark\.authenticate", "false"),), "spark.authenticate false", consent="spark-auth-allowed", unless=(r"(?im)^[ \t]*spark\.master[ \t=]+(?:local|spark://(?:127\.|localhost|\[?::1))",), clean="spark.master local[4]\nspark.authenticate false"),
     Rule("spark_ui_acls_off", (setting(r"spark\.(?:ui\.)?acls\.enable", "false"), setting(r"spark\.(?:modify|admin)\.acls", r"\*")), "spark.acls.enable false"),
     Rule("squid_allow_all", (r"(?im)^[ \t]*http_access[ \t]+allow[ \t]+all\b",), "http_access allow all"),
     Rule("ssh_root_login", (r"(?im)^[ \t]*PermitRootLogin[ \t]+yes\b",), "PermitRootLogin yes"),
@@ -194,7 +197,7 @@ RULES = [
     Rule("syncthing_gui_open", (r"(?is)<gui\b[^>]*>.*?<address>\s*0\.0\.0\.0", setting("STGUIADDRESS", r"(?:https?://)?0\.0\.0\.0[^\n]*")), "STGUIADDRESS=0.0.0.0:8384", consent="syncthing-gui-no-auth-ok"),
     Rule("tensorboard_public", (r"(?i)tensorboard[^\n]*--bind_all\b", r"(?i)tensorboard[^\n]*--host[ =]+[\"']?0\.0\.0\.0"), "tensorboard --logdir x --bind_all"),
     Rule("tikv_empty_ca", (r"(?im)^[ \t]*(?:ca-path|cert-path|key-path)[ \t]*=[ \t]*\"\"",), '[security]\nca-path = ""'),
-    Rule("tinyproxy_allow_all", (r"(?im)^[ \t]*Allow[ \t]+0\.0\.0\.0/0",), "Port 8888\nAllow 0.0.0.0/0", consent="tinyproxy-public-allowed"),
+    Rule("tinyproxy_allow_all", (r"(?im)^[ \t]*Allow[ \t]+(?:0\.0\.0\.0(?:/0)?|0/0|::(?:/0)?)[ \t]*$",), "Port 8888\nAllow 0.0.0.0/0", unless=(r"(?im)^[ \t]*BasicAuth[ \t]", r"(?im)^[ \t]*Listen[ \t]+(?:127\.|::1|localhost)"), clean="Listen 127.0.0.1\nAllow 0.0.0.0/0"),
     Rule("tomcat_default_manager", (r"(?i)<user\b[^>]*\bpassword\s*=\s*\"(?:tomcat|admin|password|s3cret|manager|changeme)\"",), '<user username="tomcat" password="tomcat" roles="manager-gui"/>', comments=XML_COMMENT),
     Rule("tomcat_shutdown_port", (r"(?i)<Server\b[^>]*\bport\s*=\s*\"8005\"[^>]*\bshutdown\s*=\s*\"SHUTDOWN\"",), '<Server port="8005" shutdown="SHUTDOWN">', consent="tomcat-shutdown-port-reviewed", comments=XML_COMMENT),
     Rule("traefik_exposed_by_default", (setting("exposedByDefault|TRAEFIK_PROVIDERS_DOCKER_EXPOSEDBYDEFAULT", YES), flag(r"providers\.docker\.exposedByDefault", YES)), "exposedByDefault: true"),
@@ -211,11 +214,11 @@ RULES = [
     Rule("vaultwarden_signups", (setting("SIGNUPS_ALLOWED", YES),), "SIGNUPS_ALLOWED=true", consent="vaultwarden-signups-allowed-ok"),
     Rule("vector_api_open", (setting("address", r"0\.0\.0\.0:\d+|\[::\]:\d+"),), '[api]\nenabled = true\naddress = "0.0.0.0:8686"', gate=r"(?im)^[ \t]*(?:\[api\]|api[ \t]*:)", consent="vector-api-public-allowed"),
     Rule("vernemq_anonymous", (setting("allow_anonymous", "on"),), "allow_anonymous = on"),
-    Rule("victoriametrics_open", (r"(?i)-{1,2}httpListenAddr(?:=|[ \t]+)['\"]?(?:0\.0\.0\.0|\[::\])?:\d+",), "victoria-metrics -httpListenAddr=0.0.0.0:8428", gate=r"(?i)victoria-?metrics|vm(?:select|insert|storage|agent|alert)", needed=(r"(?i)httpAuth\.username|vmauth",)),
+    Rule("victoriametrics_open", (r"(?i)-{1,2}httpListenAddr(?:=|[ \t]+)['\"]?(?:0\.0\.0\.0|\[::\])?:\d+",), "victoria-metrics -httpListenAddr=0.0.0.0:8428", gate=r"(?i)victoria-?metrics|vm(?:select|insert|storage|agent|alert)", unless=(r"(?i)httpAuth\.username|vmauth|-m?tls(?:CertFile|KeyFile)?\b",), clean='vmselect -httpListenAddr=:8481 -tls -tlsCertFile=/a'),
     Rule("vnc_no_password", (r"(?i)[ \t]-(?:nopw|noauth)\b", r"(?i)SecurityTypes[ \t=]+none\b"), "x11vnc -nopw", consent="vnc-no-auth-allowed"),
     Rule("vsftpd_anonymous", (setting("anonymous_enable|anon_upload_enable|no_anon_password", "YES"),), "anonymous_enable=YES"),
     Rule("wallabag_default_secret", (setting("SYMFONY__ENV__SECRET|secret", "s3cr3t|ch4n63m31fy0uc4n|changeme"),), "SYMFONY__ENV__SECRET=s3cr3t"),
-    Rule("wildfly_no_realm", (r"(?is)<http-interface\b(?:[^>\"]|\"[^\"]*\")*>",), '<management-interfaces><http-interface console-enabled="true"></http-interface></management-interfaces>', gate=r"(?i)management-interfaces", needed=(r"(?i)security-realm|http-authentication-factory",), consent="wildfly-mgmt-no-realm-ok", comments=XML_COMMENT),
+    Rule("wildfly_no_realm", (r"(?is)<(?:http|native)-interface\b(?:[^>\"]|\"[^\"]*\")*>",), '<management-interfaces><http-interface console-enabled="true"></http-interface></management-interfaces>', gate=r"(?i)management-interfaces", unless=(r"(?i)security-realm|http-authentication-factory|sasl-authentication-factory", r"(?is)<interface\s+name=\"management\">.*?inet-address[^>]*value=\"(?:\$\{[^:\"}]*:)?(?:127\.|localhost|::1)"), consent="wildfly-mgmt-no-realm-ok", comments=XML_COMMENT, clean='<management-interfaces><http-interface security-realm="M"></http-interface></management-interfaces>'),
     Rule("xrdp_no_encryption", (setting("crypt_level", "none|low"),), "[Globals]\ncrypt_level=none", consent="xrdp-crypt-allowed"),
     Rule("zabbix_default_admin", (setting("(?:ZBX_SERVER|ZABBIX|PHP_ZBX|ZBX_FRONTEND)_PASSWORD", "zabbix|admin|password"), flag("zabbix-password", "zabbix|admin")), "ZABBIX_PASSWORD=zabbix", consent="zabbix-default-admin-allowed"),
     Rule("zeppelin_anonymous", (r"(?im)^[ \t]*/\*\*[ \t]*=[ \t]*anon\b", setting(r"zeppelin\.anonymous\.allowed", "true")), "[urls]\n/** = anon"),
@@ -232,7 +235,7 @@ RULES = [
     Rule("code_aes_ecb", (r"\b(?:AES|DES|DES3|Blowfish|ARC2|CAST)\.MODE_ECB\b", r"\bmodes\s*\.\s*ECB\s*\("), "AES.new(k, AES.MODE_ECB)"),
     Rule("code_bare_except", (r"(?m)^[ \t]*except[ \t]*:", r"(?m)^[ \t]*except[ \t]+BaseException\b"), "try:\n x()\nexcept:\n pass"),
     Rule("code_hardcoded_password", (r"(?im)\b[a-z_]*(?:password|passwd|secret|api_key|token)[ \t]*=[ \t]*['\"][^'\"\n]{4,}['\"]",), "db_password = 'hunter2x'", consent="password-ok|secret-ok"),
-    Rule("code_hmac_timing", (r"(?i)(?:signature|digest|hmac|token|mac)[a-z_]*[ \t]*(?:==|!=)[ \t]*[a-z_.]*(?:hexdigest|digest|signature|expected)",), "if signature == expected_sig:", needed=(r"compare_digest\s*\(",), gate=r"(?i)hmac|signature"),
+    Rule("code_hmac_timing", (r"(?i)(?:signature|digest|hmac|token|mac)[a-z_]*[ \t]*(?:==|!=)[ \t]*[a-z_.]*(?:hexdigest|digest|signature|expected)",), "if signature == expected_sig:", unless=(r"compare_digest\s*\(",), gate=r"(?i)hmac|signature", clean='hmac.compare_digest(signature, expected)\nif digest == expected_kind: pass'),
     Rule("code_shell_true", (r"\bshell\s*=\s*True\b", r"\bos\s*\.\s*(?:system|popen)\s*\("), "subprocess.run(c, shell=True)"),
     Rule("code_yaml_unsafe", (r"\byaml\s*\.\s*unsafe_load", r"\byaml\s*\.\s*load(?:_all)?\s*\([^)\n]*(?:[^eE]Loader\s*=\s*yaml\.(?:Loader|FullLoader|UnsafeLoader)[^)\n]*)?\)"), "yaml.load(f)"),
     Rule("code_rails_permit_all", (r"\.permit!", r"\.(?:new|create|create!|update|update!|update_attributes|assign_attributes)\s*\(\s*params\s*\[\s*:[a-z_]+\s*\]\s*\)"), "params.permit!", consent="mass-assignment-allowed"),

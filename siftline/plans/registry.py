@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dialect
 from ..functions import rules as compiler
-from ..operators import chunks, code_rules, config_rules, instructions, parsed, records, state, text
+from ..operators import agent_records, chunks, code_rules, config_rules, guarded_rules, instructions, parsed, records, state, text
 from ..operators import lines as line_checks
 from ..sources.tables import lines, table
 
@@ -31,12 +31,17 @@ def _lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 LINES_SQL = f"SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM ({text.probed_sql()}) probed"
 
 
+def _agent(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    frames = {"lines": lines(text.probed(table(spark, sf_dir, "documents")))} if name.startswith("lines_") else {}
+    return agent_records.query(spark, sf_dir, name, **frames)
+
+
 def _machine(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return state.fold(state.as_events(table(spark, sf_dir, "events")), state.MACHINES[name])
 
 
 #: Rules are registered twenty at a time: one pass over the documents each.
-ALL_RULES = [*config_rules.RULES, *code_rules.CODE_RULES]
+ALL_RULES = [*config_rules.RULES, *code_rules.CODE_RULES, *guarded_rules.RULES]
 RULE_GROUPS = {f"rules_{i // 20 + 1:02d}": ALL_RULES[i : i + 20] for i in range(0, len(ALL_RULES), 20)}
 
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Query]:
     out |= {name: partial(_lines, sql=sql) for name, sql in line_checks.QUERIES.items()}
     out |= {name: partial(_rules, group=group) for name, group in RULE_GROUPS.items()}
     out |= {name: partial(_chunks, name=name) for name in chunks.MACHINES}
+    out |= {name: partial(_agent, name=name) for name in agent_records.OPERATORS}
     out |= PARSED
     out["instruction_clause_conflicts"] = lambda spark, sf_dir: instructions.conflicts(table(spark, sf_dir, "conversations"))
     return out | {name: partial(_machine, name=name) for name in state.MACHINES}
@@ -88,6 +94,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {name: compiler.scan_sql(group, text.probed_sql([r.probe for r in group])) for name, group in RULE_GROUPS.items()}
     out |= {name: dialect.oracle(sql, {"lines": LINES_SQL}) for name, sql in line_checks.QUERIES.items()}
     out |= chunks.ORACLES
+    out |= {name: agent_records.oracle(name, **({"lines": LINES_SQL} if name.startswith("lines_") else {})) for name in agent_records.OPERATORS}
     for name, sql in records.QUERIES.items():
         for spark_words, duckdb_words in records.DUCKDB_SPELLING.items():
             sql = sql.replace(spark_words, duckdb_words)

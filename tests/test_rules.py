@@ -1,5 +1,7 @@
 """Each rule flags its probe, leaves clean text alone, and stays silent where consent is given."""
 
+from collections import Counter
+
 import pytest
 
 from siftline.functions.rules import Rule, scan
@@ -10,7 +12,7 @@ CLEAN = "A plain paragraph about rivers and towns.\nIt has two lines and no sett
 
 def found(spark, rules, text):
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    return {r["rule"]: r["findings"] for r in scan(rules, rows).collect()}
+    return Counter(r["rule"] for r in scan(rules, rows).collect())
 
 
 @pytest.mark.parametrize("start", range(0, len(RULES), 24))
@@ -21,6 +23,27 @@ def test_probes_are_flagged(spark, start):
     assert [r.name for i, r in enumerate(rules) if (i, r.name) not in hits] == []
 
 
+def test_clean_counterparts_are_left_alone(spark):
+    rules = [r for r in RULES if r.clean]
+    rows = spark.createDataFrame([(i, r.clean) for i, r in enumerate(rules)], "doc_id long, text string")
+    hits = {(r["doc_id"], r["rule"]) for r in scan(rules, rows).collect()}
+    assert len(rules) > 70 and [r.name for i, r in enumerate(rules) if (i, r.name) in hits] == []
+
+
+def test_findings_are_located(spark):
+    rule = Rule("r", (r"(?m)^open = yes$", r"bad\s+thing"), "", needed=("password",))
+    text = "a\nopen = yes\n\n  x bad thing, bad\nthing\n# a comment\nopen = yes"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = sorted((r["line_no"], r["col"], r["kind"], r["detail"]) for r in scan([rule], rows).collect())
+    assert out == [(0, 0, "missing", ""), (2, 1, "found", "open = yes"), (4, 5, "found", "bad thing"), (4, 16, "found", "bad"), (7, 1, "found", "open = yes")]
+
+
+def test_guards_and_consent_in_comments(spark):
+    rule = Rule("r", (r"(?m)open = yes",), "", unless=("guarded",))
+    for text, n in (("open = yes", 1), ("open = yes\nguarded", 0), ("open = yes  # open-door-ok\nopen = yes", 1), ("# open-door-ok\nopen = yes", 0), ("open = yes\n// open-door-allowed", 0), ("open = yes\nit is ok", 1), ("open = yes\nnot-allowed", 1), ("# guarded\nopen = yes", 1)):
+        assert found(spark, [rule], text)["r"] == n, text
+
+
 def test_clean_text_is_left_alone(spark):
     assert found(spark, RULES[:120], CLEAN) == {}
     assert found(spark, RULES[120:240], CLEAN) == {}
