@@ -23,6 +23,12 @@ SPARK = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "explode({0})",
     "ITEMS": "size({0})",
+    "JOINED": "array_join(transform(array_sort(collect_list(struct({0} AS n, {1} AS s))), x -> x.s), '')",
+    "LIST": "collect_list({0})",
+    "SORTED": "array_sort({0})",
+    "AT": "element_at({0}, CAST({1} AS INT))",
+    "AWAY": "transform({0}, x -> abs(x - {1}))",
+    "SERIES": "sequence({0}, {1})",
     "JSON_KEYS": "coalesce(json_object_keys({0}), array())",
     "JSON_GET": "get_json_object({0}, concat('$.', {1}))",
     "JSON_VALID": "(try_parse_json({0}) IS NOT NULL)",
@@ -37,6 +43,12 @@ DUCKDB = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "unnest({0})",
     "ITEMS": "len({0})",
+    "JOINED": "string_agg({1}, '' ORDER BY {0})",
+    "LIST": "list({0})",
+    "SORTED": "list_sort({0})",
+    "AT": "list_element({0}, CAST({1} AS INT))",
+    "AWAY": "list_transform({0}, lambda x: abs(x - {1}))",
+    "SERIES": "generate_series({0}, {1})",
     "JSON_KEYS": "CASE WHEN json_valid({0}) THEN json_keys({0}) ELSE [] END",
     "JSON_GET": "CASE WHEN json_valid({0}) THEN json_extract_string({0}, '$.' || {1}) END",
     "JSON_VALID": "json_valid({0})",

@@ -44,8 +44,10 @@ INPUTS = {
     "steps": "SELECT user_id AS mission, event_id AS seq, event_id % 6 AS step, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'started' ELSE 'done' END AS status FROM {events}",
     # texts to embed as they are submitted: item_id, t, text
     "submissions": "SELECT event_id AS item_id, EPOCH(ts) AS t, event_type AS text FROM {events}",
-    # deltas of streamed tool calls: stream_id, idx, n, piece
-    "deltas": "SELECT conv_id AS stream_id, 0 AS idx, turn AS n, CASE WHEN turn = 0 THEN '{\"a\": [' ELSE '' END AS opening, turn AS v, conv_id % 3 AS shape FROM {conversations}",
+    # deltas of streamed tool calls: stream_id, idx (of the call), n (order), piece; some streams break off
+    "deltas": "SELECT conv_id AS stream_id, turn % 2 AS idx, turn AS n, CASE WHEN turn < 2 THEN '{\"v\": [0' ELSE concat(', ', CAST(turn AS STRING)) END AS piece FROM {conversations} UNION ALL SELECT conv_id AS stream_id, turn % 2 AS idx, 100000 AS n, ']}' AS piece FROM {conversations} WHERE turn < 2 AND (conv_id + turn) % 3 > 0",
+    # JSONL files: doc_id, line_no, line
+    "jsonl": "SELECT user_id AS doc_id, event_id AS line_no, CASE WHEN event_id % 23 = 0 THEN 'oops' WHEN event_id % 9 = 0 THEN '{\"a\": 1}' ELSE props END AS line FROM {events}",
     "documents": "SELECT doc_id, text FROM {documents}",
     "records": "SELECT event_id AS record_id, event_type AS kind, props AS body FROM {events}",
 }
@@ -167,7 +169,29 @@ SELECT record_id, kind, valid, page IS NULL AS missing_page, n_keys - CASE WHEN
 OPERATORS["record_redaction"] = r"""
 SELECT record_id, SHA256(clean) AS clean_sha256, clean <> body AS redacted, REGEX_COUNT(body, '"(?:email|token|password|k)"[ ]*:[ ]*(?:"[^"]*"|[0-9.]+)') AS n_values FROM (SELECT record_id, body, REGEX_REPLACE(body, '"(?:email|token|password|k)"[ ]*:[ ]*(?:"[^"]*"|[0-9.]+)', '"redacted": true') AS clean FROM {records}) x"""
 
-_LINES = "lined AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS below, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS above FROM {lines} src)"
+# lines of a JSONL file against the keys that most of its objects have
+OPERATORS["jsonl_mixed_schema"] = """
+WITH valid AS (SELECT doc_id, line_no, line, JSON_VALID(line) AS ok FROM {jsonl}),
+sizes AS (SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_valid FROM valid GROUP BY doc_id),
+keyed AS (SELECT doc_id, line_no, EXPLODE(JSON_KEYS(line)) AS name FROM valid WHERE ok),
+usual AS (SELECT k.doc_id, k.name FROM keyed k JOIN sizes s ON k.doc_id = s.doc_id GROUP BY k.doc_id, k.name, s.n_valid HAVING 2 * count(*) > s.n_valid),
+n_usual AS (SELECT doc_id, count(*) AS n FROM usual GROUP BY doc_id),
+held AS (SELECT k.doc_id, k.line_no, CAST(sum(CASE WHEN u.name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS extra, CAST(sum(CASE WHEN u.name IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS common FROM keyed k LEFT JOIN usual u ON k.doc_id = u.doc_id AND k.name = u.name GROUP BY k.doc_id, k.line_no)
+SELECT v.doc_id, v.line_no, coalesce(h.extra, 0) AS n_extra, coalesce(n.n, 0) - coalesce(h.common, 0) AS n_missing, CASE WHEN NOT v.ok THEN 'invalid_json' WHEN coalesce(h.extra, 0) > 0 THEN 'extra_keys' ELSE 'missing_keys' END AS kind
+FROM valid v LEFT JOIN held h ON v.doc_id = h.doc_id AND v.line_no = h.line_no LEFT JOIN n_usual n ON v.doc_id = n.doc_id WHERE NOT v.ok OR coalesce(h.extra, 0) > 0 OR coalesce(n.n, 0) > coalesce(h.common, 0)"""
+
+# a sub-agent's answer: fences stripped, JSON with the required keys, and what the policy does with the rest
+OPERATORS["output_validation"] = r"""
+WITH bare AS (SELECT message_id, trim(REGEX_REPLACE(body, '^[ \n]*```[a-z]*\n|\n```[ \n]*$', '')) AS body FROM {handoffs}),
+parsed AS (SELECT message_id, JSON_VALID(body) AS valid, ITEMS(JSON_KEYS(body)) AS n_keys, JSON_GET(body, 'task') AS task, JSON_GET(body, 'status') AS status FROM bare)
+SELECT message_id, CASE WHEN NOT valid THEN 'invalid_json' WHEN task IS NULL OR status IS NULL THEN 'missing_key' WHEN status NOT IN ('ready', 'blocked', 'done') THEN 'bad_value' WHEN n_keys > 4 THEN 'extra_key' ELSE 'valid' END AS error, CASE WHEN NOT valid THEN 'reject' WHEN task IS NULL OR status IS NULL THEN 'repair_once' WHEN status NOT IN ('ready', 'blocked', 'done') THEN 'quarantine' ELSE 'accept' END AS policy FROM parsed"""
+
+# each streamed call once, when its arguments are whole
+OPERATORS["tool_call_buffer"] = """
+WITH joined AS (SELECT stream_id, idx, count(*) AS n_deltas, JOINED(n, piece) AS args FROM {deltas} GROUP BY stream_id, idx)
+SELECT stream_id, idx, n_deltas, SHA256(args) AS args_sha256, CASE WHEN JSON_VALID(args) THEN 'completed' ELSE 'malformed' END AS verdict FROM joined"""
+
+_LINES = "lined AS (SELECT doc_id, line_no, line, below, above FROM {around} src)"
 
 OPERATORS["lines_setext_underlines"] = rf"""
 WITH {_LINES},

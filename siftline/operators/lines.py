@@ -1,14 +1,14 @@
 """Checks that follow lines, items, keys and labels through a document: SQL over the rows (doc_id, line_no, line).
 
-Windows are partitioned by document.  A line inside a fence, by parity of the
-fence lines above it, is left out by the queries that are about prose.
+The rows are made without a shuffle (``sources.tables``): {lines}, {around} (with
+neighbours) and {prose} (outside fences).  Windows are partitioned by document
+and see only the lines that they are about: headings, items, keys.
 """
 
 from __future__ import annotations
 
-_FENCES = r"""marked AS (SELECT doc_id, line_no, line, CASE WHEN REGEX_MATCH(line, '^[ \t]*(?:```|~~~)') THEN 1 ELSE 0 END AS is_fence FROM {lines} src),
-fenced AS (SELECT doc_id, line_no, line, is_fence, sum(is_fence) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 2 AS inside FROM marked),
-prose AS (SELECT doc_id, line_no, line FROM fenced WHERE inside = 0 AND is_fence = 0)"""
+#: Lines outside fences come from ``prose_lines``; for DuckDB, they are told by the parity of the fence lines above.
+_FENCES = "prose AS (SELECT doc_id, line_no, line FROM {prose} src)"
 
 QUERIES: dict[str, str] = {}
 
@@ -84,11 +84,11 @@ headed AS (SELECT doc_id, island, line_no, n, is_rule, first_value(n) OVER (PART
 SELECT doc_id, island, count(*) AS n_rows, max(header) AS n_columns, CAST(sum(CASE WHEN n <> header THEN 1 ELSE 0 END) AS BIGINT) AS ragged_rows, max(is_rule) = 0 AS no_delimiter FROM headed GROUP BY doc_id, island"""
 )
 
-QUERIES["lines_blank_around"] = r"""WITH marked AS (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS above, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS below FROM {lines} src)
+QUERIES["lines_blank_around"] = r"""WITH marked AS (SELECT doc_id, line_no, line, above, below FROM {around} src)
 SELECT doc_id, CAST(sum(CASE WHEN REGEX_MATCH(line, '^#{1,6} ') AND trim(above) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS heading_no_blank_before, CAST(sum(CASE WHEN REGEX_MATCH(line, '^#{1,6} ') AND trim(below) <> '' AND NOT REGEX_MATCH(below, '^#') THEN 1 ELSE 0 END) AS BIGINT) AS heading_no_blank_after, CAST(sum(CASE WHEN REGEX_MATCH(line, '^(?:```|~~~)[A-Za-z]') AND trim(above) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS fence_no_blank_before, CAST(sum(CASE WHEN REGEX_MATCH(line, '^(?:```|~~~)$') AND trim(below) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS fence_no_blank_after, CAST(sum(CASE WHEN REGEX_MATCH(line, '^(?:=+|-+)$') AND trim(above) <> '' AND length(trim(line)) <> length(trim(above)) THEN 1 ELSE 0 END) AS BIGINT) AS underline_length FROM marked GROUP BY doc_id"""
 
-QUERIES["lines_quote_depth"] = r"""WITH depths AS (SELECT doc_id, line_no, REGEX_COUNT(regexp_extract(line, '^((?:[ ]{0,3}>)*)', 1), '>') AS depth FROM {lines} src),
-steps AS (SELECT doc_id, depth, lag(depth) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM depths)
+_DEPTH = "REGEX_COUNT(regexp_extract({0}, '^((?:[ ]{{0,3}}>)*)', 1), '>')"
+QUERIES["lines_quote_depth"] = f"""WITH steps AS (SELECT doc_id, {_DEPTH.format('line')} AS depth, CASE WHEN above IS NOT NULL THEN {_DEPTH.format('coalesce(above, line)')} END AS before FROM {{around}} src)
 SELECT doc_id, CAST(max(depth) AS BIGINT) AS max_depth, CAST(sum(CASE WHEN depth - before > 1 THEN 1 ELSE 0 END) AS BIGINT) AS jumps, max(depth) > 3 AS too_deep FROM steps GROUP BY doc_id"""
 
 QUERIES["lines_repeated"] = r"""WITH counted AS (SELECT doc_id, trim(line) AS line, count(*) AS n FROM {lines} src WHERE length(trim(line)) > 20 GROUP BY doc_id, trim(line))
@@ -105,19 +105,27 @@ mean AS (SELECT doc_id, median(n) AS mid, count(*) AS n_sentences FROM sized GRO
 SELECT m.doc_id, m.n_sentences, CAST(sum(CASE WHEN s.n < 3 THEN 1 ELSE 0 END) AS BIGINT) AS short_sentence, CAST(sum(CASE WHEN s.n > 40 THEN 1 ELSE 0 END) AS BIGINT) AS long_sentence, CAST(sum(CASE WHEN s.n > 3 * m.mid THEN 1 ELSE 0 END) AS BIGINT) AS outlier_sentence FROM sized s JOIN mean m ON s.doc_id = m.doc_id GROUP BY m.doc_id, m.n_sentences"""
 
 QUERIES["lines_sections_and_keys"] = r"""WITH marked AS (SELECT doc_id, line_no, line, CASE WHEN REGEX_MATCH(line, '^\[[^\]]+\][ \t]*$') THEN 1 ELSE 0 END AS is_section FROM {lines} src),
-placed AS (SELECT doc_id, line_no, line, is_section, sum(is_section) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM marked),
+placed AS (SELECT doc_id, line_no, line, is_section, sum(is_section) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM marked WHERE REGEX_MATCH(line, '^\[[^\]]+\][ \t]*$|^[ \t]*[A-Za-z_][A-Za-z0-9_.-]*[ \t]*[=:]')),
 keys AS (SELECT doc_id, CAST(section AS BIGINT) AS section, trim(regexp_extract(line, '^[ \t]*([A-Za-z_][A-Za-z0-9_.-]*)[ \t]*[=:]', 1)) AS name FROM placed WHERE is_section = 0),
 sections AS (SELECT doc_id, CAST(0 AS BIGINT) AS section, trim(line) AS name FROM placed WHERE is_section = 1)
 SELECT doc_id, section, name, count(*) AS n FROM (SELECT * FROM keys UNION ALL SELECT * FROM sections) x WHERE name <> '' GROUP BY doc_id, section, name HAVING count(*) > 1"""
 
-QUERIES["lines_csv_columns"] = r"""WITH rows_ AS (SELECT doc_id, line_no, REGEX_COUNT(REGEX_REPLACE(line, '"[^"]*"', ''), ',') + 1 AS n FROM {lines} src WHERE trim(line) <> ''),
-headed AS (SELECT doc_id, n, first_value(n) OVER (PARTITION BY doc_id ORDER BY line_no) AS header FROM rows_)
+QUERIES["lines_csv_columns"] = r"""WITH rows_ AS (SELECT doc_id, line_no, REGEX_COUNT(REGEX_REPLACE(line, '"[^"]*"', ''), ',') + 1 AS n, REGEX_COUNT(REGEX_REPLACE(head, '"[^"]*"', ''), ',') + 1 AS header FROM {around} src WHERE trim(line) <> ''),
+headed AS (SELECT doc_id, n, header FROM rows_)
 SELECT doc_id, count(*) AS n_rows, max(header) AS n_columns, CAST(sum(CASE WHEN n <> header THEN 1 ELSE 0 END) AS BIGINT) AS inconsistent FROM headed GROUP BY doc_id"""
 
-QUERIES["lines_paren_depth"] = r"""WITH steps AS (SELECT doc_id, line_no, REGEX_COUNT(line, '[(]') - REGEX_COUNT(line, '[)]') AS step FROM {lines} src),
+QUERIES["lines_paren_depth"] = r"""WITH steps AS (SELECT doc_id, line_no, REGEX_COUNT(line, '[(]') - REGEX_COUNT(line, '[)]') AS step FROM {lines} src WHERE REGEX_MATCH(line, '[()]')),
 depth AS (SELECT doc_id, line_no, sum(step) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM steps)
 SELECT doc_id, CAST(max(depth) AS BIGINT) AS deepest, CAST(min(depth) AS BIGINT) AS lowest, min(depth) < 0 AS unmatched_close FROM depth GROUP BY doc_id"""
 
-QUERIES["lines_comments_near"] = r"""WITH hits AS (SELECT doc_id, line_no, CASE WHEN REGEX_MATCH(line, '(?i)user(?:name)?[ \t]*[:=]') THEN 1 ELSE 0 END AS has_user, CASE WHEN REGEX_MATCH(line, '(?i)pass(?:word)?[ \t]*[:=]|"password"') THEN 1 ELSE 0 END AS has_pass FROM {lines} src),
-near AS (SELECT doc_id, line_no, has_pass, max(has_user) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS user_near FROM hits)
+QUERIES["lines_comments_near"] = r"""WITH hits AS (SELECT doc_id, line_no, CASE WHEN REGEX_MATCH(line, '(?i)user(?:name)?[ \t]*[:=]') THEN 1 ELSE 0 END AS has_user, CASE WHEN REGEX_MATCH(line, '(?i)pass(?:word)?[ \t]*[:=]|"password"') THEN 1 ELSE 0 END AS has_pass FROM {lines} src WHERE REGEX_MATCH(line, '(?i)user(?:name)?[ \t]*[:=]|pass(?:word)?[ \t]*[:=]|"password"')),
+near AS (SELECT doc_id, line_no, has_pass, max(has_user) OVER (PARTITION BY doc_id ORDER BY line_no RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS user_near FROM hits)
 SELECT doc_id, CAST(sum(has_pass) AS BIGINT) AS passwords, CAST(sum(has_pass * user_near) AS BIGINT) AS pairs FROM near GROUP BY doc_id"""
+
+# shares that should add up: items of one list with one share each, and lines that list three or more
+QUERIES["lines_percent_groups"] = r"""WITH shares AS (SELECT doc_id, line_no, REGEX_MATCH(line, '^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+') AS bullet, REGEX_COUNT(line, '[,;]') AS seps, EXPLODE(REGEX_ALL(line, '(?:^|[^A-Za-z0-9_.])([0-9]{1,3}(?:[.][0-9]+)?)[ \t]*%', 1)) AS share FROM {lines} src WHERE contains(line, '%')),
+summed AS (SELECT doc_id, line_no, bullet, seps, count(*) AS n, sum(CAST(share AS DOUBLE)) AS total FROM shares GROUP BY doc_id, line_no, bullet, seps),
+islands AS (SELECT doc_id, line_no, total, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM summed WHERE bullet AND n = 1),
+groups_ AS (SELECT doc_id, 'bullet_list' AS kind, min(line_no) AS first_line, count(*) AS n, sum(total) AS total FROM islands GROUP BY doc_id, island HAVING count(*) >= 2
+UNION ALL SELECT doc_id, 'inline' AS kind, line_no AS first_line, n, total FROM summed WHERE NOT bullet AND n >= 3 AND seps >= n - 1)
+SELECT doc_id, kind, first_line, n, round(total, 4) AS total, CASE WHEN abs(total - 100) <= 1.0 THEN 'sums_to_100' WHEN total > 100 THEN 'above' ELSE 'below' END AS verdict FROM groups_"""

@@ -11,6 +11,7 @@ import hashlib
 import json
 import math
 import re
+import sys
 
 import numpy as np
 import pandas as pd
@@ -106,6 +107,73 @@ def recover_json(text: str | None) -> tuple[str, str | None]:
     return ("complete" if candidate == body else "recovered"), candidate
 
 
+def repair_json(text: str | None, schema: dict[str, str]) -> tuple[str, str | None, str]:
+    """Bring an answer to a flat schema (name -> string, integer, number or boolean): status (valid, repaired, failed), the
+    object as canonical JSON, and the actions taken, in order.
+
+    In turn: fences and what stands around the outer braces go, curly quotes become straight, Python's names and single
+    quotes become JSON's, commas before a closing bracket go, what is cut off is closed; then extras are dropped and values
+    coerced.  A required name that is missing, or a value that cannot be coerced, fails.
+    """
+    body, actions = (text or "").strip(), []
+
+    def parse(candidate: str):
+        try:
+            value = json.loads(candidate)
+        except (ValueError, RecursionError):
+            return None
+        return value if isinstance(value, dict) else None
+
+    def literal(candidate: str) -> str:
+        try:
+            value = ast.literal_eval(candidate)
+            return json.dumps(value) if isinstance(value, dict) else candidate
+        except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
+            return candidate
+
+    steps = (
+        ("strip_fence", lambda x: re.sub(r"^```[A-Za-z]*\s*\n|\n?```\s*$", "", x)),
+        ("strip_around", lambda x: x[x.find("{") : x.rfind("}") + 1] if 0 <= x.find("{") < x.rfind("}") else x),
+        ("straight_quotes", lambda x: re.sub("[\u201c\u201d]", '"', re.sub("[\u2018\u2019]", "'", x))),
+        ("trailing_commas", lambda x: re.sub(r",(\s*[}\]])", r"\1", x)),
+        ("python_literals", literal),
+        ("close_open", lambda x: recover_json(x)[1] or x),
+    )
+    value = parse(body)
+    for name, step in steps:
+        if value is not None:
+            break
+        after = step(body)
+        if after != body:
+            body = after
+            actions.append(name)
+            value = parse(body)
+    if value is None:
+        return "failed", None, ",".join([*actions, "unparsable"])
+    out = {}
+    for name, kind in schema.items():
+        if name not in value:
+            return "failed", None, ",".join([*actions, f"missing:{name}"])
+        v = value[name]
+        try:
+            if kind == "string":
+                fit = v if isinstance(v, str) else json.dumps(v)
+            elif kind == "boolean":
+                fit = v if isinstance(v, bool) else {"true": True, "false": False, "1": True, "0": False}[str(v).strip().lower()]
+            else:
+                number = float(v) if not isinstance(v, bool) else math.nan
+                fit = v if isinstance(v, int if kind == "integer" else (int, float)) and not isinstance(v, bool) else int(number) if kind == "integer" and number == int(number) else number
+                if not math.isfinite(number) or kind == "integer" and not isinstance(fit, int):
+                    raise ValueError(name)
+        except (ValueError, KeyError, TypeError, OverflowError):
+            return "failed", None, ",".join([*actions, f"type:{name}"])
+        if fit != v or type(fit) is not type(v):
+            actions.append(f"coerce:{name}")
+        out[name] = fit
+    actions += [f"drop:{name}" for name in value if name not in schema]
+    return ("repaired" if actions else "valid"), canonical_json(out), ",".join(actions)
+
+
 def balance_tags(text: str | None) -> tuple[int, int, int]:
     """Tags left open, end tags without a start, and end tags that cross another element."""
     stack, unexpected, crossed = [], 0, 0
@@ -125,6 +193,10 @@ def balance_tags(text: str | None) -> tuple[int, int, int]:
     return len(stack), unexpected, crossed
 
 
+# Packages that code may import besides the standard library.
+KNOWN_PACKAGES = frozenset("aiohttp anthropic attr attrs boto3 botocore bs4 celery click cryptography cv2 dateutil django dotenv duckdb fastapi flask google grpc httpx huggingface_hub jinja2 jwt langchain lxml matplotlib mypy networkx nltk numpy openai opentelemetry pandas paramiko PIL pip pkg_resources playwright polars prometheus_client psutil psycopg psycopg2 pyarrow pydantic pymongo pyspark pytest pytz redis regex requests rich ruamel scipy seaborn selenium setuptools six sklearn sqlalchemy starlette tenacity tiktoken tokenizers toml tomli torch tqdm transformers typer typing_extensions urllib3 uvicorn websockets werkzeug yaml zstandard".split())
+
+
 def _dotted(node: ast.expr) -> str:
     """``a.b.c`` of names and attributes alone, else nothing; chains of calls may be longer than the stack is deep."""
     parts = []
@@ -157,6 +229,9 @@ def scan_python(text: str | None) -> list[tuple[str, int]]:
                 "weak_hash": name in ("hashlib.md5", "hashlib.sha1"),
             }
             out += [(k, node.lineno) for k, hit in kinds.items() if hit]
+        elif isinstance(node, (ast.Import, ast.ImportFrom)) and not getattr(node, "level", 0):
+            roots = [(a.name if isinstance(node, ast.Import) else node.module or "").partition(".")[0] for a in (node.names if isinstance(node, ast.Import) else node.names[:1])]
+            out += [("unknown_import", node.lineno) for r in roots if r not in sys.stdlib_module_names and r not in KNOWN_PACKAGES]
         elif isinstance(node, ast.ExceptHandler) and node.type is None:
             out.append(("bare_except", node.lineno))
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -199,6 +274,11 @@ def json_recovery(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, _struct(recover_json, "status string, recovered string", ["status", "recovered"])(text).alias("_x")).select(key, "_x.*")
 
 
+def schema_repair(df: DataFrame, key: str, text: str, schema: dict[str, str]) -> DataFrame:
+    """Rows of (key, status, repaired, actions); null and empty texts fail; texts are read whole."""
+    return df.select(key, _struct(lambda t: repair_json(t, schema), "status string, repaired string, actions string", ["status", "repaired", "actions"])(text).alias("_x")).select(key, "_x.*")
+
+
 def tag_balance(df: DataFrame, key: str, text: str) -> DataFrame:
     names = ["unmatched_open", "unexpected_close", "crossed_close"]
     return df.select(key, _struct(balance_tags, "unmatched_open int, unexpected_close int, crossed_close int", names)(text).alias("_x")).select(key, "_x.*")

@@ -20,15 +20,18 @@ SELECT worst.user_id, n_calls, n_distinct, worst, CASE WHEN n_calls < 3 THEN 'in
 FROM worst JOIN ends ON worst.user_id = ends.user_id"""
 
 QUERIES["output_size_findings"] = """
-WITH calls AS (SELECT event_id, event_type AS tool, CAST(floor(abs(value) * 100) AS BIGINT) AS size FROM {events}),
-middle AS (SELECT tool, median(size) AS med, count(*) AS n, count(DISTINCT size) AS n_sizes FROM calls GROUP BY tool),
-spread AS (SELECT c.tool, median(abs(c.size - m.med)) AS mad FROM calls c JOIN middle m ON c.tool = m.tool GROUP BY c.tool)
-SELECT m.tool, m.n, CAST(sum(CASE WHEN c.size = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_output,
-  CAST(sum(CASE WHEN s.mad > 0 AND c.size > m.med + 6 * s.mad THEN 1 ELSE 0 END) AS BIGINT) AS size_outlier_high,
-  CAST(sum(CASE WHEN s.mad > 0 AND c.size > 0 AND c.size < m.med - 6 * s.mad AND m.med > 64 THEN 1 ELSE 0 END) AS BIGINT) AS size_outlier_low,
-  CAST(sum(CASE WHEN c.size BETWEEN 1014 AND 1024 OR c.size BETWEEN 2028 AND 2048 OR c.size BETWEEN 4056 AND 4096 OR c.size BETWEEN 8111 AND 8192 OR c.size BETWEEN 16221 AND 16384 OR c.size BETWEEN 32441 AND 32768 OR c.size BETWEEN 64881 AND 65536 OR c.size BETWEEN 129762 AND 131072 THEN 1 ELSE 0 END) AS BIGINT) AS size_at_round_cap,
+WITH sizes AS (SELECT tool, size, count(*) AS c FROM (SELECT event_type AS tool, CAST(floor(abs(value) * 100) AS BIGINT) AS size FROM {events}) x GROUP BY tool, size),
+ranked AS (SELECT tool, size, c, sum(c) OVER (PARTITION BY tool ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(c) OVER (PARTITION BY tool) AS n FROM sizes),
+middle AS (SELECT tool, CAST(max(n) AS BIGINT) AS n, count(*) AS n_sizes, (min(CASE WHEN 2 * upto >= n THEN size END) + min(CASE WHEN 2 * upto > n THEN size END)) / 2.0 AS med FROM ranked GROUP BY tool),
+apart AS (SELECT s.tool, abs(s.size - m.med) AS away, sum(s.c) AS c FROM sizes s JOIN middle m ON s.tool = m.tool GROUP BY s.tool, abs(s.size - m.med)),
+spans AS (SELECT tool, away, sum(c) OVER (PARTITION BY tool ORDER BY away ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(c) OVER (PARTITION BY tool) AS n FROM apart),
+spread AS (SELECT tool, (min(CASE WHEN 2 * upto >= n THEN away END) + min(CASE WHEN 2 * upto > n THEN away END)) / 2.0 AS mad FROM spans GROUP BY tool)
+SELECT m.tool, m.n, CAST(sum(CASE WHEN c.size = 0 THEN c.c ELSE 0 END) AS BIGINT) AS empty_output,
+  CAST(sum(CASE WHEN s.mad > 0 AND c.size > m.med + 6 * s.mad THEN c.c ELSE 0 END) AS BIGINT) AS size_outlier_high,
+  CAST(sum(CASE WHEN s.mad > 0 AND c.size > 0 AND c.size < m.med - 6 * s.mad AND m.med > 64 THEN c.c ELSE 0 END) AS BIGINT) AS size_outlier_low,
+  CAST(sum(CASE WHEN c.size BETWEEN 1014 AND 1024 OR c.size BETWEEN 2028 AND 2048 OR c.size BETWEEN 4056 AND 4096 OR c.size BETWEEN 8111 AND 8192 OR c.size BETWEEN 16221 AND 16384 OR c.size BETWEEN 32441 AND 32768 OR c.size BETWEEN 64881 AND 65536 OR c.size BETWEEN 129762 AND 131072 THEN c.c ELSE 0 END) AS BIGINT) AS size_at_round_cap,
   max(CASE WHEN m.n >= 5 AND m.n_sizes = 1 THEN 1 ELSE 0 END) AS variance_collapse
-FROM calls c JOIN middle m ON c.tool = m.tool JOIN spread s ON c.tool = s.tool GROUP BY m.tool, m.n"""
+FROM sizes c JOIN middle m ON c.tool = m.tool JOIN spread s ON c.tool = s.tool GROUP BY m.tool, m.n"""
 
 QUERIES["timestamp_monotonicity"] = """
 WITH steps AS (SELECT user_id, EPOCH(ts) AS t, lag(EPOCH(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS before, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS ts_before, ts FROM {events})
@@ -111,14 +114,30 @@ WITH {_DAILY},
 base AS (SELECT metric, d, v, avg(v) OVER w AS mean, stddev_samp(v) OVER w AS sd, count(v) OVER w AS n FROM daily WINDOW w AS (PARTITION BY metric ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
 SELECT metric, d, v, n, CASE WHEN n < 2 THEN 'insufficient_data' WHEN sd = 0 AND v = mean THEN 'clean' WHEN sd = 0 THEN 'anomaly' WHEN abs(v - mean) >= 2.0 * sd THEN 'anomaly' ELSE 'clean' END AS verdict FROM base"""
 
+def _middle(values: str) -> str:
+    """The median of a sorted list."""
+    return f"(AT({values}, floor((ITEMS({values}) + 1) / 2)) + AT({values}, floor(ITEMS({values}) / 2) + 1)) / 2.0"
+
+
+# one window hands each day its last fortnight; medians are those of lists
 QUERIES["mad_baseline"] = f"""
 WITH {_DAILY},
-numbered AS (SELECT metric, d, v, row_number() OVER (PARTITION BY metric ORDER BY d) AS k FROM daily),
-pairs AS (SELECT t.metric, t.d, t.v, t.k, b.v AS bv FROM numbered t JOIN numbered b ON t.metric = b.metric AND b.k BETWEEN t.k - 14 AND t.k - 1),
-mids AS (SELECT metric, k, median(bv) AS med, count(*) AS n FROM pairs GROUP BY metric, k),
-mads AS (SELECT p.metric, p.k, median(abs(p.bv - m.med)) AS mad FROM pairs p JOIN mids m ON p.metric = m.metric AND p.k = m.k GROUP BY p.metric, p.k)
-SELECT t.metric, t.d, t.v, coalesce(m.n, 0) AS n, CASE WHEN coalesce(m.n, 0) < 2 THEN 'insufficient_data' WHEN a.mad = 0 AND t.v = m.med THEN 'clean' WHEN a.mad = 0 THEN 'anomaly' WHEN abs(t.v - m.med) >= 2.0 * 1.4826 * a.mad THEN 'anomaly' ELSE 'clean' END AS verdict
-FROM numbered t LEFT JOIN mids m ON t.metric = m.metric AND t.k = m.k LEFT JOIN mads a ON t.metric = a.metric AND t.k = a.k"""
+based AS (SELECT metric, d, v, SORTED(LIST(v) OVER (PARTITION BY metric ORDER BY d ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)) AS past FROM daily),
+mids AS (SELECT metric, d, v, past, CAST(coalesce(ITEMS(past), 0) AS BIGINT) AS n, CASE WHEN ITEMS(past) > 0 THEN {_middle('past')} END AS med FROM based),
+aways AS (SELECT metric, d, v, n, med, CASE WHEN n > 0 THEN SORTED(AWAY(past, med)) END AS away FROM mids),
+mads AS (SELECT metric, d, v, n, med, CASE WHEN n > 0 THEN {_middle('away')} END AS mad FROM aways)
+SELECT metric, d, v, n, CASE WHEN n < 2 THEN 'insufficient_data' WHEN mad = 0 AND v = med THEN 'clean' WHEN mad = 0 THEN 'anomaly' WHEN abs(v - med) >= 2.0 * 1.4826 * mad THEN 'anomaly' ELSE 'clean' END AS verdict FROM mads"""
+
+# exponentially weighted mean and deviation of span 7 (alpha 1/4), summed in closed form: a value's weight falls by 3/4 a day
+_EWMA = "PARTITION BY metric ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+QUERIES["ewma_baseline"] = f"""
+WITH {_DAILY},
+numbered AS (SELECT metric, d, v, CAST(row_number() OVER (PARTITION BY metric ORDER BY d) AS DOUBLE) AS k FROM daily),
+means AS (SELECT metric, d, v, k, sum(CASE WHEN k = 1 THEN v ELSE 0.25 * v END * power(0.75, -k)) OVER ({_EWMA}) * power(0.75, k) AS ewma FROM numbered),
+steps AS (SELECT metric, d, v, k, lag(ewma) OVER (PARTITION BY metric ORDER BY d) AS mean FROM means),
+spread AS (SELECT metric, d, v, k, mean, sum(CASE WHEN k = 1 THEN 0 ELSE 0.25 * (v - mean) * (v - mean) * power(0.75, -k) END) OVER ({_EWMA}) * power(0.75, k) AS var FROM steps),
+scored AS (SELECT metric, d, v, k, mean, lag(var) OVER (PARTITION BY metric ORDER BY d) AS var FROM spread)
+SELECT metric, d, v, CAST(k - 1 AS BIGINT) AS n, round(mean, 6) AS ewma, round(sqrt(var), 6) AS ewmsd, CASE WHEN k - 1 < 7 THEN 'insufficient_data' WHEN var < 1e-18 AND abs(v - mean) < 1e-9 THEN 'clean' WHEN var < 1e-18 THEN 'anomaly' WHEN abs(v - mean) >= 2.0 * sqrt(var) THEN 'anomaly' ELSE 'clean' END AS verdict FROM scored"""
 
 QUERIES["alert_noise_budget"] = f"""
 WITH {_DAILY},
@@ -133,10 +152,34 @@ SELECT d, count(*) AS n_metrics, CAST(sum(v) AS BIGINT) AS total, CAST(sum(CASE
 
 # --- prompts and redaction --------------------------------------------------
 
-QUERIES["pii_redaction"] = r"""
+# Patterns begin only at a word's edge, and a text is searched only if it holds what the pattern must.
+_EMAIL, _CARD, _IP = r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+
+
+def _luhn(digits: str) -> str:
+    """Whether sixteen digits pass the check sum: every second one doubled, from the left."""
+    terms = []
+    for i in range(1, 17):
+        d = f"CAST(substr({digits}, {i}, 1) AS INT)"
+        terms.append(f"CASE WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END" if i % 2 else d)
+    return f"({' + '.join(terms)}) % 10 = 0"
+
+
+QUERIES["pii_redaction"] = rf"""
 SELECT doc_id, SHA256(clean) AS clean_sha256, length(clean) AS n_clean, n_email, n_card, n_ip FROM (
-SELECT doc_id, REGEX_COUNT(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS n_email, REGEX_COUNT(text, '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b') AS n_card, REGEX_COUNT(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b') AS n_ip,
-REGEX_REPLACE(REGEX_REPLACE(REGEX_REPLACE(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>'), '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b', '<CARD>'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '<IPV4>') AS clean FROM {documents}) x"""
+SELECT doc_id, n_email, n_card, n_ip, CASE WHEN n_ip > 0 THEN REGEX_REPLACE(no_cards, '{_IP}', '<IPV4>') ELSE no_cards END AS clean FROM (
+SELECT doc_id, n_email, n_card, n_ip, CASE WHEN n_card > 0 THEN REGEX_REPLACE(no_mail, '{_CARD}', '<CARD>') ELSE no_mail END AS no_cards FROM (
+SELECT doc_id, n_email, n_card, n_ip, CASE WHEN n_email > 0 THEN REGEX_REPLACE(text, '{_EMAIL}', '<EMAIL>') ELSE text END AS no_mail FROM (
+SELECT doc_id, text, CASE WHEN contains(text, '@') THEN REGEX_COUNT(text, '{_EMAIL}') ELSE 0 END AS n_email, CASE WHEN REGEX_MATCH(text, '[0-9]{{4}}') THEN REGEX_COUNT(text, '{_CARD}') ELSE 0 END AS n_card, CASE WHEN REGEX_MATCH(text, '[0-9][.][0-9]') THEN REGEX_COUNT(text, '{_IP}') ELSE 0 END AS n_ip FROM {{documents}}) a) b) c) x"""
+
+# one number for each value of a kind in a document, in order of the values: what numbered redaction writes
+QUERIES["pii_numbers"] = rf"""
+WITH found AS (SELECT doc_id, 'EMAIL' AS kind, EXPLODE(REGEX_ALL(text, '({_EMAIL})', 1)) AS value FROM {{documents}} WHERE contains(text, '@')
+UNION ALL SELECT doc_id, 'IPV4' AS kind, EXPLODE(REGEX_ALL(text, '({_IP})', 1)) AS value FROM {{documents}} WHERE REGEX_MATCH(text, '[0-9][.][0-9]')
+UNION ALL SELECT doc_id, 'CARD' AS kind, REGEX_REPLACE(value, '[ -]', '') AS value FROM (SELECT doc_id, EXPLODE(REGEX_ALL(text, '({_CARD})', 1)) AS value FROM {{documents}} WHERE REGEX_MATCH(text, '[0-9]{{4}}')) cards
+UNION ALL SELECT doc_id, 'TOKEN' AS kind, EXPLODE(REGEX_ALL(text, '\b(AKIA[0-9A-Z]{{16}}|ghp_[A-Za-z0-9]{{36}}|eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{4,}})', 1)) AS value FROM {{documents}}),
+counted AS (SELECT doc_id, kind, value, count(*) AS n FROM found WHERE kind <> 'CARD' OR {_luhn('value')} GROUP BY doc_id, kind, value)
+SELECT doc_id, concat('<', kind, '_', CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY value) AS STRING), '>') AS token, SHA256(value) AS value_sha256, n FROM counted"""
 
 QUERIES["content_safety"] = r"""
 SELECT doc_id, n_slur, n_secret, CASE WHEN n_secret > 0 THEN 'block' WHEN n_slur >= 3 THEN 'block' WHEN n_slur > 0 THEN 'review' ELSE 'allow' END AS action FROM (SELECT doc_id, REGEX_COUNT(lower(text), '\b(?:idiot|moron|scum|trash|loser)\b') AS n_slur, REGEX_COUNT(text, '\b\d{16}\b') AS n_secret FROM {documents}) x"""
@@ -206,11 +249,18 @@ SELECT class, attribution, retryable, count(*) AS n FROM (SELECT CASE WHEN statu
 QUERIES["argument_coercion"] = """
 SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN TRY_CAST(raw AS BIGINT) IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS as_integer, CAST(sum(CASE WHEN raw IN ('true', 'false') THEN 1 ELSE 0 END) AS BIGINT) AS as_boolean, CAST(sum(CASE WHEN TRY_CAST(raw AS BIGINT) IS NULL AND raw NOT IN ('true', 'false') THEN 1 ELSE 0 END) AS BIGINT) AS uncoercible FROM (SELECT event_type, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'true' WHEN 1 THEN concat('x', CAST(event_id AS STRING)) ELSE CAST(event_id AS STRING) END AS raw FROM {events}) x GROUP BY event_type"""
 
-QUERIES["tool_name_suggestions"] = """
-WITH asked AS (SELECT DISTINCT concat(substr(event_type, 1, 2), 'x', substr(event_type, 3)) AS name FROM {events}),
-known AS (SELECT DISTINCT event_type AS tool FROM {events}),
-near AS (SELECT name, tool, levenshtein(name, tool) AS distance FROM asked CROSS JOIN known WHERE abs(length(name) - length(tool)) <= 2)
-SELECT name, tool AS best, distance FROM (SELECT name, tool, distance, row_number() OVER (PARTITION BY name ORDER BY distance, tool) AS k FROM near WHERE distance <= 2) x WHERE k = 1"""
+# names within two edits, a swap of neighbours being one: each name also stands with two letters swapped, and only names whose
+# lengths differ by two at most meet, by length
+_VARIANTS = "SELECT {0}, {0} AS variant, 0 AS cost FROM {1} UNION ALL SELECT {0}, concat(substr({0}, 1, i - 1), substr({0}, i + 1, 1), substr({0}, i, 1), substr({0}, i + 2)) AS variant, 1 AS cost FROM (SELECT {0}, EXPLODE(SERIES(1, length({0}) - 1)) AS i FROM {1} WHERE length({0}) > 1) {0}_swaps"
+QUERIES["tool_name_suggestions"] = f"""
+WITH asked AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN concat(substr(event_type, 1, 2), 'x', substr(event_type, 3)) ELSE concat(substr(event_type, 2, 1), substr(event_type, 1, 1), substr(event_type, 3)) END AS name FROM {{events}}),
+known AS (SELECT DISTINCT event_type AS tool FROM {{events}}),
+names AS ({_VARIANTS.format('name', 'asked')}),
+tools AS ({_VARIANTS.format('tool', 'known')}),
+sized AS (SELECT name, variant, cost, EXPLODE(SERIES(length(name) - 2, length(name) + 2)) AS size FROM names),
+near AS (SELECT n.name, t.tool, min(levenshtein(n.variant, t.variant) + n.cost + t.cost) AS distance FROM sized n JOIN tools t ON n.size = length(t.tool) GROUP BY n.name, t.tool),
+ranked AS (SELECT name, tool, distance, row_number() OVER (PARTITION BY name ORDER BY distance, tool) AS k, lead(distance) OVER (PARTITION BY name ORDER BY distance, tool) AS runner_up FROM near WHERE distance <= 2)
+SELECT name, tool AS best, CAST(distance AS BIGINT) AS distance, CASE WHEN distance = 0 THEN 'exact' WHEN runner_up = distance THEN 'ambiguous' ELSE 'suggest' END AS verdict FROM ranked WHERE k = 1"""
 
 QUERIES["shadow_comparison"] = """
 WITH prod AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM {orders} WHERE o_orderkey % 11 <> 3),

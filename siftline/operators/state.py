@@ -139,6 +139,24 @@ def iteration_cap(most: int, stuck_after: int, cooldown: float) -> Machine:
     return Machine((0, None, 0), step)
 
 
+def bounded_queue(capacity: float, per_second: float, most: int) -> Machine:
+    """A token bucket with a queue of ``most`` in front: calls without a token wait, and are refused where the queue is
+    full. Detail: seconds until a waiting call has its token, or the queue's length."""
+
+    def step(state: State, t: float, kind: str, size: float):
+        tokens, last, queue = state
+        tokens = capacity if last is None else tokens + max(0.0, t - last) * per_second
+        served = min(queue, int(tokens + 1e-9))  # those that wait go first
+        tokens, queue = min(capacity, tokens - served), queue - served
+        if not queue and tokens >= 1.0 - 1e-9:
+            return (tokens - 1.0, t, 0), "admitted", 0.0
+        if queue < most:
+            return (tokens, t, queue + 1), "throttled", (queue + 1 - tokens) / per_second
+        return (tokens, t, queue), "rejected", float(queue)
+
+    return Machine((0.0, None, 0), step)
+
+
 MACHINES = {
     "request_dedupe": dedupe_window(86_400.0),
     "circuit_breakers": circuit_breaker(8, 4, 0.5, 43_200.0),
@@ -147,6 +165,36 @@ MACHINES = {
     "output_debounce": debouncer(86_400.0, 900.0),
     "embedding_cache": ttl_lru_cache(3, 259_200.0),
     "iteration_caps": iteration_cap(50, 3, 1.0),
+    "rate_limit_queues": bounded_queue(2.0, 1 / 86_400, 3),
+}
+
+_EVENTS = "SELECT user_id AS entity, event_id, epoch_us(ts) / 1e6 AS t, event_type AS kind, abs(value) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events"
+
+
+def _walk(columns: dict[str, tuple[str, str]], verdict: tuple[str, str], detail: tuple[str, str]) -> str:
+    """A machine as a recursive query: each column's first value and the next from ``r`` (before) and ``e`` (event)."""
+    first = ", ".join(f"{a} AS {c}" for c, (a, _) in columns.items())
+    following = ", ".join(f"{b} AS {c}" for c, (_, b) in columns.items())
+    return f"""WITH RECURSIVE e AS ({_EVENTS}),
+r AS (SELECT entity, event_id, k, {first}, {verdict[0]} AS verdict, CAST({detail[0]} AS DOUBLE) AS detail FROM e WHERE k = 1
+UNION ALL SELECT e.entity, e.event_id, e.k, {following}, {verdict[1]} AS verdict, CAST({detail[1]} AS DOUBLE) AS detail FROM r JOIN e ON e.entity = r.entity AND e.k = r.k + 1)
+SELECT entity, event_id, verdict, round(detail, 6) AS detail FROM r"""
+
+
+_NEW = "(e.t - r.first >= {0})"
+_OPENS = "(e.t - r.first >= 172800.0 OR r.held >= 5)"
+_FLUSHES = "(r.held + e.size >= 900.0 OR e.t - r.last >= 86400.0)"
+_TOKENS = "least(3.0, r.tokens + greatest(0.0, e.t - r.last) / 43200)"
+#: DuckDB SQL of the machines whose state is a few numbers.
+ORACLES = {
+    "request_dedupe": _walk({"first": ("t", f"CASE WHEN {_NEW.format('86400.0')} THEN e.t ELSE r.first END")}, ("'forward'", f"CASE WHEN {_NEW.format('86400.0')} THEN 'forward' ELSE 'suppress' END"), ("0.0", f"CASE WHEN {_NEW.format('86400.0')} THEN 0.0 ELSE e.t - r.first END")),
+    "batching_windows": _walk({"first": ("t", f"CASE WHEN {_OPENS} THEN e.t ELSE r.first END"), "held": ("1", f"CASE WHEN {_OPENS} THEN 1 ELSE r.held + 1 END")}, ("'opened'", f"CASE WHEN {_OPENS} THEN 'opened' WHEN r.held + 1 = 5 THEN 'filled' ELSE 'joined' END"), ("1.0", f"CASE WHEN {_OPENS} THEN 1.0 ELSE r.held + 1 END")),
+    "output_debounce": _walk({"held": ("CASE WHEN size >= 900.0 THEN 0.0 ELSE size END", f"CASE WHEN {_FLUSHES} THEN 0.0 ELSE r.held + e.size END"), "last": ("t", f"CASE WHEN {_FLUSHES} THEN e.t ELSE r.last END")}, ("CASE WHEN size >= 900.0 THEN 'flush_size' ELSE 'hold' END", f"CASE WHEN r.held + e.size >= 900.0 THEN 'flush_size' WHEN {_FLUSHES} THEN 'flush_time' ELSE 'hold' END"), ("CASE WHEN size >= 900.0 THEN size ELSE 0.0 END", f"CASE WHEN {_FLUSHES} THEN r.held + e.size ELSE 0.0 END")),
+    "retry_budgets": _walk({"tokens": ("2.0::DOUBLE", f"CASE WHEN {_TOKENS} >= 1.0 - 1e-9 THEN {_TOKENS} - 1.0 ELSE {_TOKENS} END"), "last": ("t", "e.t")}, ("'admitted'", f"CASE WHEN {_TOKENS} >= 1.0 - 1e-9 THEN 'admitted' ELSE 'throttled' END"), ("0.0", f"CASE WHEN {_TOKENS} >= 1.0 - 1e-9 THEN 0.0 ELSE (1.0 - {_TOKENS}) * 43200 END")),
+    "iteration_caps": f"""WITH e AS ({_EVENTS}),
+runs AS (SELECT *, k - row_number() OVER (PARTITION BY entity, kind ORDER BY k) AS run FROM e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY entity, kind, run ORDER BY k) AS same FROM runs)
+SELECT entity, event_id, CASE WHEN k > 50 THEN 'capped' WHEN same >= 3 THEN 'stuck' ELSE 'continue' END AS verdict, CASE WHEN k <= 50 AND same >= 3 THEN power(2.0, same - 3) ELSE 0.0 END AS detail FROM placed""",
 }
 
 SCHEMA = "entity long, event_id long, verdict string, detail double"

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dialect
 from ..functions import rules as compiler
-from ..operators import agent_records, chunks, code_rules, config_rules, guarded_rules, instructions, parsed, records, state, text
+from ..operators import agent_records, chunks, code_rules, config_rules, fences, guarded_rules, instructions, parsed, records, state, text
 from ..operators import lines as line_checks
-from ..sources.tables import lines, table
+from ..sources.tables import lines, lines_around, prose_lines, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,16 +24,30 @@ def _record(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return dialect.run(spark, sf_dir, sql)
 
 
+_LINE_FRAMES = {"lines": lines, "around": lines_around, "prose": prose_lines}
+
+
+def _line_frames(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
+    """The frames of lines that a text names."""
+    documents = text.probed(table(spark, sf_dir, "documents"))
+    return {name: make(documents) for name, make in _LINE_FRAMES.items() if f"{{{name}}}" in sql}
+
+
 def _lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return dialect.run(spark, sf_dir, sql, {"lines": lines(text.probed(table(spark, sf_dir, "documents")))})
+    return dialect.run(spark, sf_dir, sql, _line_frames(spark, sf_dir, sql))
 
 
 LINES_SQL = f"SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM ({text.probed_sql()}) probed"
+#: The same frames from windows over lines.
+LINE_FRAMES_SQL = {
+    "lines": LINES_SQL,
+    "around": f"SELECT doc_id, line_no, line, lag(line) OVER w AS above, lead(line) OVER w AS below, first_value(CASE WHEN trim(line) <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS head FROM ({LINES_SQL}) l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)",
+    "prose": f"SELECT doc_id, line_no, line FROM (SELECT *, sum(is_fence) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 AS inside FROM (SELECT *, CASE WHEN regexp_matches(line, '^[ \\t]*(?:```|~~~)') THEN 1 ELSE 0 END AS is_fence FROM ({LINES_SQL}) l) m) f WHERE inside = 0 AND is_fence = 0",
+}
 
 
 def _agent(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    frames = {"lines": lines(text.probed(table(spark, sf_dir, "documents")))} if name.startswith("lines_") else {}
-    return agent_records.query(spark, sf_dir, name, **frames)
+    return agent_records.query(spark, sf_dir, name, **_line_frames(spark, sf_dir, agent_records.OPERATORS[name]))
 
 
 def _machine(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +77,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARSED: dict[str, Query] = {
     "parsed_json": lambda spark, sf_dir: parsed.json_scan(_texts(spark, sf_dir), "doc_id", "text"),
     "parsed_json_recovery": lambda spark, sf_dir: parsed.json_recovery(_texts(spark, sf_dir), "doc_id", "text"),
+    "parsed_schema_repair": lambda spark, sf_dir: parsed.schema_repair(table(spark, sf_dir, "events"), "event_id", "props", {"page": "string"}),
+    "fenced_blocks": lambda spark, sf_dir: fences.extract(text.probed(table(spark, sf_dir, "documents"))),
     "parsed_event_props": lambda spark, sf_dir: parsed.json_scan(table(spark, sf_dir, "events"), "event_id", "props"),
     "parsed_tags": lambda spark, sf_dir: parsed.tag_balance(table(spark, sf_dir, "pages"), "page_id", "html"),
     "parsed_tag_probes": lambda spark, sf_dir: parsed.tag_balance(_texts(spark, sf_dir), "doc_id", "text"),
@@ -92,9 +108,12 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {f"text_{c.name}": text.oracle(c) for c in text.CHECKS}
     out |= {name: compiler.scan_sql(group, text.probed_sql([r.probe for r in group])) for name, group in RULE_GROUPS.items()}
-    out |= {name: dialect.oracle(sql, {"lines": LINES_SQL}) for name, sql in line_checks.QUERIES.items()}
-    out |= chunks.ORACLES
-    out |= {name: agent_records.oracle(name, **({"lines": LINES_SQL} if name.startswith("lines_") else {})) for name in agent_records.OPERATORS}
+    out |= {name: dialect.oracle(sql, LINE_FRAMES_SQL) for name, sql in line_checks.QUERIES.items()}
+    out |= chunks.ORACLES | state.ORACLES
+    out["fenced_blocks"] = fences.oracle(text.probed_sql())
+    out["parsed_json"] = "SELECT doc_id, 'invalid' AS status, 0 AS duplicate_keys, 0 AS lossy_numbers, 0 AS depth FROM documents WHERE NOT coalesce(json_valid(text), false)"
+    out["parsed_cache_keys"] = "SELECT event_id, sha256('{\"context_hash\":\"' || sha256('null') || '\",\"model\":' || to_json(event_type) || ',\"prompt\":' || to_json(props) || ',\"temperature\":' || CAST(round(value, 4) AS VARCHAR) || '}') AS cache_key FROM events"
+    out |= {name: agent_records.oracle(name, **LINE_FRAMES_SQL) for name in agent_records.OPERATORS}
     for name, sql in records.QUERIES.items():
         for spark_words, duckdb_words in records.DUCKDB_SPELLING.items():
             sql = sql.replace(spark_words, duckdb_words)
