@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents under several capacities.
 
-A sequence has a residual of tokens, of documents and of attention cost (the sum
-of squared lengths).  Pieces go, longest first, to the open sequence that scores
+A sequence has a residual of tokens, of documents and of attention cost (the
+tiles that attention within each document touches: the square of its length in
+tiles).  Pieces go, longest first, to the open sequence that scores
 best by weighted residual norm or dot product among those where every capacity
 holds.  Lengths are at most the token capacity, so the packing is decided for
 counts of lengths: a plan whose size depends on that capacity and not on the
@@ -12,6 +13,7 @@ each rank up in the plan.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,19 +30,28 @@ from .kernels import ragged, row_of, text_slices
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence may hold, and what each capacity weighs in the choice of a sequence."""
+    """What one sequence may hold, and what each capacity weighs in the choice of a sequence.
+
+    ``attention`` counts tiles of ``tile`` x ``tile`` tokens.  With the defaults all three bind: a piece of 1024 tokens
+    takes 256 of 272 tiles, so a long piece leaves room for 16 short ones at most.
+    """
 
     tokens: int = 1024
-    documents: int = 1024
-    attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
+    documents: int = 48
+    attention: int = 272
+    tile: int = 64
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     score: str = "norm"
 
+    def cost(self, length: int) -> int:
+        return (-(-length // self.tile)) ** 2
+
 
 class _Ids:
     """The library's ids of distinct pre-tokens, remembered up to a bound."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 18):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would keep memory of its own
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
@@ -55,8 +66,8 @@ class _Ids:
         """Where the ids of each distinct span stand in ``flat``, and how many they are."""
         found, hit = self.cache.get(keys)
         where, new = found.copy(), np.flatnonzero(~hit)
-        if len(self.cache.keys) >= self.cache.most and len(self.flat) > 1 << 25:
-            self.cache, self.used = Cache(self.cache.most), 0
+        if self.used > 1 << 22:  # what was worked out beyond the cache's bound takes room as well
+            self.cache, self.used, self.flat = Cache(self.cache.most), 0, self.flat[: 1 << 23]
             where, new = found.copy(), np.arange(len(keys))
         if len(new):
             raw = data.tobytes()
@@ -128,16 +139,18 @@ def tokenised_pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text:
     return map_batches(source, cut, schema + (", ids array<int>" if keep_ids else ""), lambda: _ids(vocabulary))
 
 
-def plan(counts: dict[int, int], capacity: Capacity) -> np.ndarray:
+def plan(counts: dict[int, int], capacity: Capacity, shaped: dict[str, int] | None = None) -> np.ndarray:
     """Pack ``counts`` pieces of each length; many equal sequences are handled at once.
 
     Rows of (length, first rank, pieces of this length in each sequence, first sequence, offset), in order of length and
     rank: the piece of rank r of that length goes to sequence first + (r - first rank) // pieces, at
-    offset + (r - first rank) % pieces * length.
+    offset + (r - first rank) % pieces * length.  ``shaped`` gets how many sequences with room for
+    tokens the other capacities closed, how many at once they kept out of a choice, and as ``choice`` how many times
+    tokens alone would have chosen another sequence.
     """
     full = np.array([capacity.tokens, capacity.documents, capacity.attention], np.float64)
     weight = np.array(capacity.weights)
-    too_long = [x for x in counts if x > capacity.tokens or x * x > capacity.attention]
+    too_long = [x for x in counts if x > capacity.tokens or capacity.cost(x) > capacity.attention]
     if too_long or capacity.documents < 1:
         raise ValueError(f"no sequence holds a piece of {max(too_long, default=0)} tokens")
     room = np.zeros((64, 3), np.int64)  # residuals of groups of equal sequences
@@ -146,17 +159,23 @@ def plan(counts: dict[int, int], capacity: Capacity) -> np.ndarray:
     rows = []
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
-        need = np.array([length, 1, length * length])
+        need = np.array([length, 1, capacity.cost(length)])
 
         def fits(r: np.ndarray, need=need) -> np.ndarray:
             return (r // np.maximum(need, 1)).min(axis=-1)
 
         while left:
-            open_ = np.flatnonzero((many[:used] > 0) & (room[:used] >= need).all(axis=1))
+            holds = room[:used] >= need
+            open_ = np.flatnonzero((many[:used] > 0) & holds.all(axis=1))
+            if shaped is not None:
+                kept_out = (many[:used] > 0) & holds[:, 0] & ~holds.all(axis=1)
+                shaped["kept out"] = max(shaped.get("kept out", 0), int(many[:used][kept_out].sum()))
             if len(open_):
                 share, demand = room[open_] / full, need / full
                 score = -(weight * (share - demand) ** 2).sum(1) if capacity.score == "norm" else (weight * share * demand).sum(1)
                 g = int(open_[np.argmax(score)])
+                if shaped is not None:
+                    shaped["choice"] = shaped.get("choice", 0) + int(room[g, 0] != room[open_, 0].min())
                 residual, first, bins = room[g].copy(), int(begin[g]), int(many[g])
             else:
                 g, residual = -1, full.astype(np.int64)
@@ -174,6 +193,8 @@ def plan(counts: dict[int, int], capacity: Capacity) -> np.ndarray:
             elif bins > bins_now:  # cannot happen: what was opened is filled
                 raise AssertionError
             after = residual - each * need
+            if shaped is not None and after[0] > 0 and after[1:].min() <= 0:
+                shaped["closed"] = shaped.get("closed", 0) + bins_now
             if after[0] > 0 and after[1] > 0 and after[2] > 0:
                 free = np.flatnonzero(many[:used] == 0)
                 at = int(free[0]) if len(free) else used
