@@ -119,3 +119,23 @@ def test_recovery_has_no_limit_of_characters():
     assert parsed.recover_json('{"a": 1, "' + "k" * 5000) == ("recovered", '{"a": 1}')
     assert parsed.recover_json("[" * 100_000) == ("recovered", "[" * 100_000 + "]" * 100_000)
     assert parsed.recover_json("x" * 1_000_000) == ("lost", None)
+
+
+def test_answers_are_repaired_to_a_schema():
+    schema = {"name": "string", "n": "integer", "ok": "boolean"}
+    good = '{"n":3,"name":"a","ok":true}'
+    for text, status, actions in (
+        ('{"name": "a", "n": 3, "ok": true}', "valid", ""),
+        ('```json\n{"name": "a", "n": "3", "ok": true}\n```', "repaired", "strip_fence,coerce:n"),
+        ("Here: {'name': 'a', 'n': 3, 'ok': True,} done", "repaired", "strip_around,trailing_commas,python_literals"),
+        ('{"name": "a", "n": 3.0, "ok": "true", "more": 1}', "repaired", "coerce:n,coerce:ok,drop:more"),
+        ('{\u201cname\u201d: "a", "n": 3, "ok": true', "repaired", "straight_quotes,close_open"),
+    ):
+        assert parsed.repair_json(text, schema) == (status, good, actions), text
+    for text, actions in (("no json", "unparsable"), (None, "unparsable"), ('{"name": "a", "n": 3}', "missing:ok"), ('{"name": "a", "n": 3.5, "ok": true}', "type:n"), ('{"name": "a", "n": true, "ok": true}', "type:n")):
+        assert parsed.repair_json(text, schema) == ("failed", None, actions), text
+
+
+def test_unknown_imports():
+    found = parsed.scan_python("import os, pandas_utils\nfrom openai_helper import x\nfrom . import y\nimport numpy.linalg")
+    assert found == [("unknown_import", 1), ("unknown_import", 2)]

@@ -1,5 +1,7 @@
 """State machines: steps on hand-made events, folds against plain loops, streams against folds."""
 
+import random
+
 import pandas as pd
 import pytest
 
@@ -28,6 +30,11 @@ def test_bucket_throttles_and_refills():
     assert verdicts(state.token_bucket(2, 1), [(0, "", 0), (0, "", 0), (0, "", 0), (1, "", 0)]) == ["admitted", "admitted", "throttled", "admitted"]
 
 
+def test_queue_admits_holds_and_refuses():
+    m = state.bounded_queue(1, 1, 1)
+    assert verdicts(m, [(0, "", 0), (0.1, "", 0), (0.2, "", 0), (5, "", 0)]) == ["admitted", "throttled", "rejected", "admitted"]
+
+
 def test_cache_expires_and_evicts():
     m = state.ttl_lru_cache(2, 5)
     assert verdicts(m, [(0, "a", 0), (1, "b", 0), (2, "a", 0), (3, "c", 0), (4, "b", 0), (20, "c", 0)]) == ["miss", "miss", "hit", "miss", "miss", "expired"]
@@ -51,16 +58,39 @@ def test_fold_equals_a_loop(spark, sf, name):
     assert ours == expected
 
 
-def test_stream_equals_batch(spark, sf, tmp_path):
-    machine = state.MACHINES["request_dedupe"]
+def streamed(spark, folder, parts, schema, machine, **options):
+    """The verdicts of a stream that reads one file a batch."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(folder / "in/*"))
+    query = fold_stream(stream, machine, **options).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    return spark.read.parquet(str(folder / "out")).toPandas().sort_values("event_id").reset_index(drop=True)
+
+
+@pytest.mark.parametrize("name", ["request_dedupe", "circuit_breakers"])
+def test_stream_equals_batch_on_late_and_repeated_events(spark, sf, tmp_path, name):
+    machine = state.MACHINES[name]
     events = state.as_events(spark.read.parquet(f"{sf}/events.parquet"))
     rows = events.orderBy("t", "event_id").toPandas()
+    rng = random.Random(3)
+    come = rows.iloc[sorted(range(len(rows)), key=lambda i: rows["t"].iloc[i] + rng.uniform(0, 80_000))]
+    parts = []
     for i in range(3):
-        part = rows.iloc[i * len(rows) // 3 : (i + 1) * len(rows) // 3]
-        spark.createDataFrame(part, events.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
-    query = fold_stream(stream, machine).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    streamed = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values("event_id").reset_index(drop=True)
+        part = come.iloc[i * len(rows) // 3 : (i + 1) * len(rows) // 3]
+        parts.append(pd.concat([part, part.sample(5, random_state=i)]))  # some events come twice
+    closing = rows.iloc[:1].assign(entity=-1, event_id=-1, t=rows["t"].max() + 10 * 86_400)
+    out = streamed(spark, tmp_path, [*parts, closing], events.schema, machine, late="1 day", idle=1e9)
     batch = state.fold(events, machine).toPandas().sort_values("event_id").reset_index(drop=True)
-    pd.testing.assert_frame_equal(streamed[batch.columns], batch)
+    pd.testing.assert_frame_equal(out[out["entity"] >= 0].reset_index(drop=True)[batch.columns], batch)
+
+
+def test_state_of_idle_keys_goes_and_late_events_are_dropped(spark, tmp_path):
+    schema = "entity long, event_id long, t double, kind string, size double"
+
+    def rows(*items):
+        return pd.DataFrame([(e, i, float(t), "a", 1.0) for e, i, t in items], columns=["entity", "event_id", "t", "kind", "size"])
+
+    parts = [rows((1, 1, 1000)), rows((2, 2, 100_000)), rows((1, 3, 50_000), (1, 4, 100_500)), rows((2, 5, 900_000))]
+    out = streamed(spark, tmp_path, parts, schema, state.iteration_cap(50, 2, 1.0), late="10 seconds", idle=60.0)
+    assert dict(zip(out["event_id"], out["verdict"], strict=True)) == {1: "continue", 2: "continue", 4: "continue"}  # 3 is too late, and 4 starts anew
