@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="siftline-")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whichever store its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 #: Rows of an Arrow batch; Spark's own default of 10,000 holds tens of megabytes of text in each Python worker.
 BATCH_ROWS = 1_000
 
@@ -77,7 +83,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
 
 def keep_rows(df: DataFrame, column: str, verdict: Callable[..., object], start: Callable | None = None) -> DataFrame:
     """The rows of ``df``, with all their columns, for whose ``column`` the function of an Arrow column is true; nothing
-    is shuffled."""
+    is shuffled.  Null and empty texts are handed to the function like others, texts of any length whole; repeated rows
+    stand or fall alike; columns may have any names; no rows in, none out."""
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,7 +121,8 @@ def npy_tile(image: np.ndarray, height: int, width: int) -> bytes:
 def image_features(df: DataFrame, key: str = "doc_id", media: str = "media", tile: int = 16) -> DataFrame:
     """Decode each image of a binary column: height, width, an NPY tile of ``tile`` x ``tile`` and the difference hash.
 
-    Images are read row by row without a shuffle.  Null, empty or broken images give null features; repeated rows stay.
+    Images are read row by row without a shuffle.  Null, empty or broken images give null features; repeated rows stay;
+    other columns are not read; one image is in memory at a time besides its batch; no rows in, none out.
     """
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,7 +146,8 @@ def texts_as_media(df: DataFrame, key: str = "doc_id", text: str = "text", width
     The payload is the UTF-8 text and as many 0 bytes as make it a positive multiple of ``width``.  Returned are its
     sizes and checksums, those of the stored image, the NPY tile's checksum and the difference hash; with
     ``keep_media`` also the image and the tile.  Null texts are empty ones; equal texts give equal values; nothing is
-    shuffled, and one text is in memory at a time besides its batch.
+    shuffled, and one text is in memory at a time besides its batch.  Repeated rows and null keys stay, other columns are
+    not read; no rows in, none out.
     """
 
     def store(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -191,5 +191,6 @@ def scores(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
 
 def at_least(df: DataFrame, model: Model | None, threshold: float, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that score the threshold or more, with all their columns, in one pass."""
+    """The rows of ``df`` that score the threshold or more, with all their columns, in one pass.  Null texts are empty ones
+    and score as texts of no words; without a model every row stays; the rest is as in ``keep_rows``."""
     return keep_rows(df, text, lambda column: score_column(column, model) >= threshold)

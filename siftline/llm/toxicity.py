@@ -171,6 +171,7 @@ def scores(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 
 def below(df: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that score below the threshold, with all their columns, in one pass."""
+    """The rows of ``df`` that score below the threshold, with all their columns, in one pass.  Null and empty texts score
+    what the bias alone gives; the rest is as in ``keep_rows``."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     return keep_rows(df, text, lambda column, dense: score_column(column, sent.value, dense) < threshold, lambda: _dense(sent.value))

@@ -79,10 +79,10 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, queries.vocabulary()).count() == 0
 
 
-@pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(100, 3, 6000), packing.Capacity(100, 100, 10_000, score="dot"), packing.Capacity(50, 2, 2500, (1, 1, 1))])
+@pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(100, 3, 110, 10), packing.Capacity(100, 100, 10_000, 1, score="dot"), packing.Capacity(50, 2, 40, 8, (1, 1, 1))])
 def test_plan_holds_every_capacity(capacity):
     rng = random.Random(7)
-    most = min(capacity.tokens, int(capacity.attention**0.5))
+    most = max(x for x in range(1, capacity.tokens + 1) if capacity.cost(x) <= capacity.attention)
     counts = Counter(rng.randint(1, most) for _ in range(3000)) + Counter({1: 500})
     bins = {}
     for length, rank, each, first, offset in packing.plan(dict(counts), capacity).tolist():
@@ -97,7 +97,7 @@ def test_plan_holds_every_capacity(capacity):
                 begins.setdefault(s, []).append((offset + (r - rank) % each * length, length))
     assert sum(map(len, held.values())) == sum(counts.values())
     for s, lengths in held.items():
-        assert sum(lengths) <= capacity.tokens and len(lengths) <= capacity.documents and sum(x * x for x in lengths) <= capacity.attention
+        assert sum(lengths) <= capacity.tokens and len(lengths) <= capacity.documents and sum(map(capacity.cost, lengths)) <= capacity.attention
         at = 0
         for offset, length in sorted(begins[s]):
             assert offset == at
@@ -312,7 +312,7 @@ def test_licenses(spark, docs, rows, empty):
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(texts)], "doc_id long, text string, _found int, family string")
     out = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
     assert [out[i]["family"] for i in range(8)] == ["Apache-2.0", "MIT", "GPL", "CC", None, None, None, "Proprietary"]
-    assert out[0]["confirmed"] and out[0]["n_paragraphs"] == 3 and out[5]["n_paragraphs"] == 0 and not out[4]["confirmed"]
+    assert out[0]["confirmed"] and out[0]["n_paragraphs"] == 2 and out[5]["n_paragraphs"] == 0 and not out[4]["confirmed"]
     m = licenses.model()
     for i in (1, 2, 3, 7):  # one paragraph each: the plan computes what the model does
         assert abs(out[i]["probability"] - max(m.probabilities(licenses._grams(texts[i])))) < 1e-9
@@ -380,6 +380,43 @@ def test_filters_pass_whole_rows(spark, docs, rows):
         assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in scored.collect() if passes(r["score"]))
 
 
+def test_filters_and_mixes_of_nothing(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.below(empty, queries.toxicity_model(docs, labels), 0.5), quality.at_least(empty, queries.quality_model(docs, labels), 0.3), mixing.mixed_documents(empty)):
+        assert out.columns == docs.columns and out.count() == 0
+    images = spark.createDataFrame([], "doc_id long, media binary")
+    assert media.image_features(images).count() == 0
+
+
+def test_licenses_of_awkward_texts(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, None), (2, ""), (3, " \n\n "), (4, "river water house " * 50_000 + "\n\n" + notice), (5, notice + "\n" + notice), (5, notice + "\n" + notice), (None, notice), (6, notice + "\nReleased under the BSD 3-Clause License."), (7, "Distributed under the terms of the Sleepycat License.")]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, _best int, similarity string")
+    out = licenses.license_scan(df).collect()
+    by = {r["doc_id"]: r for r in out}
+    assert Counter(r["doc_id"] for r in out) == Counter(k for k, _ in rows)
+    assert [(by[k]["n_paragraphs"], by[k]["n_license"], by[k]["family"]) for k in (1, 2, 3, 4, 5, None)] == [(0, 0, None)] * 3 + [(2, 1, "MIT"), (1, 2, "MIT"), (1, 1, "MIT")]
+    assert by[6]["n_license"] == 2 and by[6]["families"] == ["BSD", "MIT"]
+    assert by[7]["family"] == licenses.UNKNOWN and by[7]["n_unknown"] == 1 and by[7]["probability"] is None and not by[7]["confirmed"]
+
+
+def test_pipeline_on_awkward_documents(spark, tmp_path, sf):
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(10_001, None, "en", "src1", 0), (10_002, "", None, None, 0), (None, "a text without a key " * 5, "en", "src2", 9)], source.schema)
+    again = source.limit(20)
+    folder = str(tmp_path)
+    source.union(odd).union(again).withColumnsRenamed({"lang": "length", "n_chars": "row"}).withColumnsRenamed({"row": "size"}).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert out and all(0 < r["length"] <= 1024 for r in out)
+    nothing = str(tmp_path / "none")
+    source.limit(0).write.parquet(f"{nothing}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{nothing}/labels.parquet")
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
