@@ -1,17 +1,22 @@
 """The corpus pipeline: five stages from raw documents to packed training sequences.
 
 Each stage reads what the one before wrote, works on all of it, and returns the
-columns of documents; the last returns the packed pieces.
+columns of documents; the last returns the packed pieces.  Null and empty texts
+are scored, mixed and packed like others (as texts without words) and are copies
+of nothing; texts are read whole; repeated rows count as copies, of which one
+stays; rows of null key stay; columns may have any names besides doc_id, text and
+source; from no documents come no pieces.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import jaccard, mixing, packing, quality, queries, toxicity
-from siftline.llm.frames import durable, table
+from siftline.llm.frames import remove, shared_folder, table
 
 #: Not expressible in SQL: the classifiers, the rounding and the packing are iterative.
 ORACLE_SQL = None
@@ -52,10 +57,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is made durable before the next stage reads it."""
+    """Apply the stages to documents.
+
+    Every stage but the last writes its documents as Parquet in the folder that driver and executors share, from which
+    the next one reads the columns that it needs; a table goes once the next one is written.
+    """
     docs = table(spark, sf_dir, "documents")
+    folder, before = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = durable(docs)
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{i}"
     return docs
