@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dialect import quote
+from . import dialect
 
 #: Addresses on which everybody is served.
 ANYWHERE = r"(?:0\.0\.0\.0|\[?::\]?|\*)"
@@ -190,6 +190,10 @@ def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str
 def scan_sql(rules: list[Rule], documents: str) -> str:
     """The same rows from DuckDB, where places are counted in prefixes; ``documents`` is a query of (doc_id, text)."""
     parts = []
+
+    def quote(pattern: str) -> str:  # scripts are named without Java's prefix
+        return dialect.quote(pattern.replace(r"\p{Is", r"\p{"))
+
     for r in rules:
         clean = f"regexp_replace(text, {quote(r.comments)}, '', 'g')" if r.comments else "text"
         where = ["true"] + ([f"regexp_matches(text, {quote(r.gate)})"] if r.gate else []) + ([f"NOT regexp_matches(text, {quote(r.consent)})"] if r.consent else []) + [f"NOT regexp_matches({clean}, {quote(p)})" for p in r.unless]
@@ -204,5 +208,5 @@ each AS (SELECT doc_id, rule, kind, pieces, unnest(range(2, len(pieces) + 1)) AS
 placed AS (SELECT doc_id, rule, kind, replace(array_to_string(pieces[1:i - 1], ''), chr(2), '') AS prefix, string_split(pieces[i], chr(2))[1] AS found FROM each)
 SELECT doc_id, rule, kind, CASE WHEN kind = 'found' THEN CAST(1 + len(prefix) - len(replace(prefix, chr(10), '')) AS INTEGER) ELSE 0 END AS line_no,
   CASE WHEN kind = 'found' THEN CAST(1 + len(string_split(prefix, chr(10))[-1]) AS INTEGER) ELSE 0 END AS col,
-  substr(trim(string_split(ltrim(found, ' ' || chr(9) || chr(13) || chr(10)), chr(10))[1]), 1, {SHOWN}) AS detail
+  substr(trim(string_split(ltrim(found, ' ' || chr(9) || chr(13) || chr(10)), chr(10))[1], ' '), 1, {SHOWN}) AS detail
 FROM placed"""

@@ -59,6 +59,15 @@ ALL_RULES = [*config_rules.RULES, *code_rules.CODE_RULES, *guarded_rules.RULES]
 RULE_GROUPS = {f"rules_{i // 20 + 1:02d}": ALL_RULES[i : i + 20] for i in range(0, len(ALL_RULES), 20)}
 
 
+#: The places of what checks count, where a check counts the text as it is; letters of a script are only counted.
+TEXT_RULES = [compiler.Rule(f"{c.name}.{k}", patterns, "", comments=None) for c in text.CHECKS if not c.clean and not c.only and c.name != "script_mismatch" for k, patterns in c.counts.items() if "-" not in patterns]
+TEXT_GROUPS = {f"findings_{i // 25 + 1:02d}": TEXT_RULES[i : i + 25] for i in range(0, len(TEXT_RULES), 25)}
+
+
+def _findings(spark: SparkSession, sf_dir: str, group: list[compiler.Rule]) -> DataFrame:
+    return compiler.scan(group, text.probed(table(spark, sf_dir, "documents")))
+
+
 def _rules(spark: SparkSession, sf_dir: str, group: list[compiler.Rule]) -> DataFrame:
     documents = text.probed(table(spark, sf_dir, "documents"), [r.probe for r in group])
     return compiler.scan(group, documents)
@@ -98,6 +107,7 @@ def queries() -> dict[str, Query]:
     out |= {name: partial(_record, sql=sql) for name, sql in records.QUERIES.items()}
     out |= {name: partial(_lines, sql=sql) for name, sql in line_checks.QUERIES.items()}
     out |= {name: partial(_rules, group=group) for name, group in RULE_GROUPS.items()}
+    out |= {name: partial(_findings, group=group) for name, group in TEXT_GROUPS.items()}
     out |= {name: partial(_chunks, name=name) for name in chunks.MACHINES}
     out |= {name: partial(_agent, name=name) for name in agent_records.OPERATORS}
     out |= PARSED
@@ -108,6 +118,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {f"text_{c.name}": text.oracle(c) for c in text.CHECKS}
     out |= {name: compiler.scan_sql(group, text.probed_sql([r.probe for r in group])) for name, group in RULE_GROUPS.items()}
+    out |= {name: compiler.scan_sql(group, text.probed_sql()) for name, group in TEXT_GROUPS.items()}
     out |= {name: dialect.oracle(sql, LINE_FRAMES_SQL) for name, sql in line_checks.QUERIES.items()}
     out |= chunks.ORACLES | state.ORACLES
     out["fenced_blocks"] = fences.oracle(text.probed_sql())
