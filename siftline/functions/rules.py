@@ -43,14 +43,28 @@ SHOWN = 120
 YES, NO = "true|yes|on|1", "false|no|off|0"
 
 
+#: What may follow a value inside a command, a quoted string or a list.
+_ENDS = r"(?:[\"'|/,;)}\\\]]|[ \t]*$|[ \t]+(?:>>|>|&&|\|\||\\|-))"
+
+
 def setting(key: str, values: str) -> str:
-    """``key = value`` or ``key: value``, also exported, as a list item or quoted."""
-    return rf"(?im)^[ \t]*(?:export[ \t]+|-[ \t]+|ENV[ \t]+)?[\"']?(?:{key})[\"']?[ \t]*(?:[:=]|[ \t])[ \t]*[\"']?(?:{values})[\"']?[ \t]*,?[ \t]*$"
+    """``key = value`` or ``key: value``: a line of its own, also exported, as a list item or quoted; inside a command, a
+    string or a flow list; a quoted directive that a command writes; or the name and value of a container's variable."""
+    line = rf"^[ \t]*(?:export[ \t]+|-[ \t]+|ENV[ \t]+)?[\"']?(?:{key})[\"']?[ \t]*(?:[:=]|[ \t])[ \t]*[\"']?(?:{values})[\"']?[ \t]*,?[ \t]*$"
+    inside = rf"(?:[ \t\"'|/,({{]|Environment=[\"']?)(?:{key})[\"']?[ \t]*[:=][ \t]*[\"']?(?:{values}){_ENDS}"
+    written = rf"[\"'|/](?:{key})[ \t]+(?:{values})[\"'|/]"
+    variable = rf"\bname[ \t]*:[ \t]*[\"']?(?:{key})[\"']?[ \t]*,?\s+value[ \t]*:[ \t]*[\"']?(?:{values})[\"']?[ \t]*$"
+    return rf"(?im)(?:{line}|{inside}|{written}|{variable})"
+
+
+def empty(key: str) -> str:
+    """A setting without a value."""
+    return rf"(?im)^[ \t]*(?:export[ \t]+|-[ \t]+|ENV[ \t]+)?[\"']?(?:{key})[\"']?[ \t]*[:=][ \t]*(?:[\"']{{2}})?[ \t]*,?[ \t]*$"
 
 
 def flag(name: str, values: str = "") -> str:
-    """A command-line flag, with a value if ``values`` is given."""
-    return rf"(?i)(?:^|[\s\"'])--?(?:{name})" + (rf"(?:[ \t]+|=)[\"']?(?:{values})(?:[\s\"',:\]]|$)" if values else r"(?:[\s\"',=\]]|$)")
+    """A command-line flag, with a value if ``values`` is given; also as items of a list."""
+    return rf"(?im)(?:^|[\s\"'])--?(?:{name})" + (rf"(?:[ \t]+|=|[\"']?[ \t]*,[ \t]*)[\"']?(?:{values})(?:[\s\"',:\]]|$)" if values else r"(?:[\s\"',=\]]|$)")
 
 
 def xml_property(name: str, values: str) -> str:

@@ -2,9 +2,9 @@
 
 from collections import Counter
 
-import pytest
+import duckdb
 
-from siftline.functions.rules import Rule, scan
+from siftline.functions.rules import Rule, scan, scan_sql
 from siftline.plans.registry import ALL_RULES as RULES
 
 CLEAN = "A plain paragraph about rivers and towns.\nIt has two lines and no settings at all."
@@ -15,19 +15,27 @@ def found(spark, rules, text):
     return Counter(r["rule"] for r in scan(rules, rows).collect())
 
 
-@pytest.mark.parametrize("start", range(0, len(RULES), 24))
-def test_probes_are_flagged(spark, start):
-    rules = RULES[start : start + 24]
-    rows = spark.createDataFrame([(i, r.probe) for i, r in enumerate(rules)], "doc_id long, text string")
-    hits = {(r["doc_id"], r["rule"]) for r in scan(rules, rows).collect()}
-    assert [r.name for i, r in enumerate(rules) if (i, r.name) not in hits] == []
+def flagged(rules, texts):
+    """Names of the rules that flag their own text, by DuckDB; that Spark finds the same is tested with the queries."""
+    con = duckdb.connect()
+    out = []
+    for rule, text in zip(rules, texts, strict=True):
+        con.execute("CREATE OR REPLACE TABLE t AS SELECT 1 AS doc_id, ?::VARCHAR AS text", [text])
+        if con.execute(scan_sql([rule], "SELECT * FROM t")).fetchall():
+            out.append(rule.name)
+    return out
+
+
+def test_probes_are_flagged():
+    assert flagged(RULES, [r.probe for r in RULES]) == [r.name for r in RULES]
 
 
 def test_clean_counterparts_are_left_alone(spark):
     rules = [r for r in RULES if r.clean]
-    rows = spark.createDataFrame([(i, r.clean) for i, r in enumerate(rules)], "doc_id long, text string")
-    hits = {(r["doc_id"], r["rule"]) for r in scan(rules, rows).collect()}
-    assert len(rules) > 70 and [r.name for i, r in enumerate(rules) if (i, r.name) in hits] == []
+    assert len(rules) > 150 and flagged(rules, [r.clean for r in rules]) == []
+    rows = spark.createDataFrame([(i, r.clean) for i, r in enumerate(rules[:40])], "doc_id long, text string")
+    hits = {(r["doc_id"], r["rule"]) for r in scan(rules[:40], rows).collect()}
+    assert [r.name for i, r in enumerate(rules[:40]) if (i, r.name) in hits] == []
 
 
 def test_findings_are_located(spark):
@@ -44,10 +52,10 @@ def test_guards_and_consent_in_comments(spark):
         assert found(spark, [rule], text)["r"] == n, text
 
 
-def test_clean_text_is_left_alone(spark):
-    assert found(spark, RULES[:120], CLEAN) == {}
-    assert found(spark, RULES[120:240], CLEAN) == {}
-    assert found(spark, RULES[240:], CLEAN) == {}
+def test_clean_text_is_left_alone():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT 1 AS doc_id, ?::VARCHAR AS text", [CLEAN])
+    assert con.execute(scan_sql(RULES, "SELECT * FROM t")).fetchall() == []
 
 
 def test_consent_gate_comment_and_absence(spark):
