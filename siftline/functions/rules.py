@@ -162,15 +162,22 @@ def _places(clean: Column, pattern: str) -> Column:
 
 def _findings(rule: Rule, text: Column, lowered: Column) -> Column:
     """The findings of a rule, as an array; null where it does not apply."""
-    clean = F.regexp_replace(text, rule.comments, "") if rule.comments else text
     kind = "struct<rule:string,kind:string,line_no:int,col:int,detail:string>"
-    parts = []
-    for p in rule.found:
-        places = F.transform(_places(clean, p), lambda x: F.struct(F.lit(rule.name), F.lit("found"), x["line_no"], x["col"], F.substring(F.trim(F.substring_index(F.ltrim(x["detail"], F.lit(" \t\r\n")), "\n", 1)), 1, SHOWN)).cast(kind))
-        parts.append(F.when(clean.rlike(p), places).otherwise(F.array().cast(f"array<{kind}>")))
-    for p in rule.needed:
-        missing = F.array(F.struct(F.lit(rule.name), F.lit("missing"), F.lit(0), F.lit(0), F.lit("")).cast(kind))
-        parts.append(F.when(clean.rlike(p), F.array().cast(f"array<{kind}>")).otherwise(missing))
+    none = F.array().cast(f"array<{kind}>")
+
+    def of(clean: Column) -> Column:
+        parts = []
+        for p in rule.found:
+            places = F.transform(_places(clean, p), lambda x: F.struct(F.lit(rule.name), F.lit("found"), x["line_no"], x["col"], F.substring(F.trim(F.substring_index(F.ltrim(x["detail"], F.lit(" \t\r\n")), "\n", 1)), 1, SHOWN)).cast(kind))
+            parts.append(F.when(clean.rlike(p), places).otherwise(none))
+        for p in rule.needed:
+            missing = F.array(F.struct(F.lit(rule.name), F.lit("missing"), F.lit(0), F.lit(0), F.lit("")).cast(kind))
+            parts.append(F.when(clean.rlike(p), none).otherwise(missing))
+        found = F.concat(*parts)
+        for p in rule.unless:
+            found = F.when(~clean.rlike(p), found)
+        return found
+
     # from the cheapest to the dearest: substrings, the gate, consent; only then comments and patterns
     applies = F.lit(True)
     for patterns in ((rule.gate,) if rule.gate else (), () if rule.needed else rule.found):
@@ -180,9 +187,11 @@ def _findings(rule: Rule, text: Column, lowered: Column) -> Column:
         applies = applies & text.rlike(rule.gate)
     if rule.consent:
         applies = applies & ~text.rlike(rule.consent)
-    for p in rule.unless:
-        applies = applies & ~clean.rlike(p)
-    return F.when(applies, F.concat(*parts))
+    if not rule.comments:
+        return F.when(applies, of(text))
+    # through a lambda's variable, so that comments are removed once
+    clean = F.array(F.regexp_replace(text, rule.comments, ""))
+    return F.when(applies, F.element_at(F.transform(clean, of), 1))
 
 
 def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

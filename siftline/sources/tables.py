@@ -55,9 +55,9 @@ def prose_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     breaks = F.transform("_pieces", lambda x: F.length(x) - F.length(F.translate(x, "\n", "")))
     cut = held.withColumn("_breaks", breaks)
     # a document without a fence is one piece; pieces are few, so sums of those before are cheap
-    before = F.transform("_pieces", lambda x, i: F.struct(x.alias("piece"), i.alias("i"), F.aggregate(F.slice("_breaks", 1, i), F.lit(0), lambda a, b: a + b).alias("breaks"), (F.size("_pieces") - 1).alias("last")))
+    before = F.transform("_pieces", lambda x, i: F.struct(x.alias("piece"), i.alias("i"), F.aggregate(F.slice("_breaks", 1, i), F.lit(0), lambda a, b: a + b).alias("breaks"), F.element_at("_breaks", i + 1).alias("own"), (F.size("_pieces") - 1).alias("last")))
     prose = cut.select(key, F.explode(F.filter(before, lambda x: x["i"] % 2 == 0)).alias("_x"))
     # a piece that follows a fence begins with that line's break, one that precedes a fence ends with a break
-    each = prose.select(key, "_x.i", "_x.breaks", "_x.last", F.posexplode(F.split("_x.piece", "\n", -1)).alias("_at", "line"), (F.length("_x.piece") - F.length(F.translate("_x.piece", "\n", ""))).alias("_own"))
-    kept = each.where(((F.col("i") == 0) | (F.col("_at") > 0)) & ((F.col("i") == F.col("last")) | (F.col("_at") < F.col("_own"))))
+    each = prose.select(key, "_x.i", "_x.breaks", "_x.own", "_x.last", F.posexplode(F.split("_x.piece", "\n", -1)).alias("_at", "line"))
+    kept = each.where(((F.col("i") == 0) | (F.col("_at") > 0)) & ((F.col("i") == F.col("last")) | (F.col("_at") < F.col("own"))))
     return kept.select(key, (F.col("breaks") + F.col("_at") + 1).alias("line_no"), "line")
