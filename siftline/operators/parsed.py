@@ -248,7 +248,11 @@ def canonical_json(value) -> str:
 
 
 def route(key: str, backends: list[tuple[str, float]]) -> str:
-    """The backend of the highest weighted rendezvous score, the first by name among equals."""
+    """The backend of the highest weighted rendezvous score, the first by name among equals.
+
+    Fixed values: the hash (BLAKE2b of 8 bytes over key, a zero byte and name), its scale of 2^64 and the score of weight
+    over the negative logarithm; whoever routes by them agrees.
+    """
 
     def score(name: str, weight: float) -> float:
         n = int.from_bytes(hashlib.blake2b(f"{key}\0{name}".encode(), digest_size=8).digest(), "big")

@@ -2,7 +2,8 @@
 
 Every operator partitions by its entity (tool, user, conversation, order) and
 aggregates before it joins; nothing is collected.  The texts run on Spark and,
-through the same macros, on DuckDB.
+through the same macros, on DuckDB.  Fixed values: names of verdicts, thresholds
+and windows, as the findings are defined by them.
 """
 
 from __future__ import annotations
