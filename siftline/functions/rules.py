@@ -20,7 +20,7 @@ import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dialect
@@ -131,67 +131,50 @@ def needles(pattern: str) -> frozenset[str] | None:
     return frozenset(found) if found else None
 
 
-def _may_match(patterns: tuple[str, ...], lowered: Column) -> Column | None:
-    """A cheap condition that holds wherever one of the patterns matches."""
+# The columns are written as SQL text and parsed at once: built call by call, twenty rules take seconds.
+_KIND = "ARRAY<STRUCT<rule: STRING, kind: STRING, line_no: INT, col: INT, detail: STRING>>"
+_q = dialect.spark_quote
+
+
+def _may_match(patterns: tuple[str, ...]) -> str | None:
+    """A cheap condition on the lower-case text that holds wherever one of the patterns matches."""
     sets = [needles(p) for p in patterns]
     if not sets or not all(sets):
         return None
-    condition = None
-    for n in sorted(set().union(*sets)):
-        hit = F.contains(lowered, F.lit(n))
-        condition = hit if condition is None else condition | hit
-    return condition
+    return "(" + " OR ".join(f"contains(_low, {_q(n)})" for n in sorted(set().union(*sets))) + ")"
 
 
-def _places(clean: Column, pattern: str) -> Column:
+def _places(clean: str, pattern: str) -> str:
     """Line, column and first line of each match, from one replacement and a fold over the pieces between matches."""
-    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{START}$0{END}"))
-    pieces = F.split(marked, START)
-
-    def step(acc: Column, piece: Column) -> Column:
-        plain = F.translate(piece, END, "")
-        breaks = F.length(plain) - F.length(F.translate(plain, "\n", ""))
-        tail = F.length(F.substring_index(plain, "\n", -1))
-        here = F.struct(acc["line"].alias("line_no"), (acc["col"] + 1).alias("col"), F.substring_index(piece, END, 1).alias("detail"))
-        return F.struct((acc["line"] + breaks).alias("line"), F.when(breaks > 0, tail).otherwise(acc["col"] + tail).alias("col"), F.array_append(acc["found"], here).alias("found"))
-
-    begin = F.struct(F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<line_no:int,col:int,detail:string>>").alias("found"))
+    marked = f"regexp_replace({clean}, {_q(pattern)}, {_q(START + '$0' + END)})"
+    plain = f"translate(x, {_q(END)}, '')"
+    breaks = f"(length({plain}) - length(translate({plain}, {_q(chr(10))}, '')))"
+    tail = f"length(substring_index({plain}, {_q(chr(10))}, -1))"
+    here = f"named_struct('line_no', a.line, 'col', a.col + 1, 'detail', substring_index(x, {_q(END)}, 1))"
+    step = f"named_struct('line', a.line + {breaks}, 'col', CASE WHEN {breaks} > 0 THEN {tail} ELSE a.col + {tail} END, 'found', array_append(a.found, {here}))"
+    begin = "named_struct('line', 1, 'col', 0, 'found', CAST(array() AS ARRAY<STRUCT<line_no: INT, col: INT, detail: STRING>>))"
     # the first piece stands before the first match
-    return F.slice(F.aggregate(pieces, begin, step, lambda acc: acc["found"]), 2, 1 << 30)
+    return f"slice(aggregate(split({marked}, {_q(START)}), {begin}, (a, x) -> {step}, a -> a.found), 2, 1073741824)"
 
 
-def _findings(rule: Rule, text: Column, lowered: Column) -> Column:
+def _findings(rule: Rule) -> str:
     """The findings of a rule, as an array; null where it does not apply."""
-    kind = "struct<rule:string,kind:string,line_no:int,col:int,detail:string>"
-    none = F.array().cast(f"array<{kind}>")
-
-    def of(clean: Column) -> Column:
-        parts = []
-        for p in rule.found:
-            places = F.transform(_places(clean, p), lambda x: F.struct(F.lit(rule.name), F.lit("found"), x["line_no"], x["col"], F.substring(F.trim(F.substring_index(F.ltrim(x["detail"], F.lit(" \t\r\n")), "\n", 1)), 1, SHOWN)).cast(kind))
-            parts.append(F.when(clean.rlike(p), places).otherwise(none))
-        for p in rule.needed:
-            missing = F.array(F.struct(F.lit(rule.name), F.lit("missing"), F.lit(0), F.lit(0), F.lit("")).cast(kind))
-            parts.append(F.when(clean.rlike(p), none).otherwise(missing))
-        found = F.concat(*parts)
-        for p in rule.unless:
-            found = F.when(~clean.rlike(p), found)
-        return found
-
+    none, name = f"CAST(array() AS {_KIND})", _q(rule.name)
+    clean = "c" if rule.comments else "_text"
+    shown = f"substring(trim(BOTH ' ' FROM substring_index(trim(LEADING {_q(' ' + chr(9) + chr(13) + chr(10))} FROM y.detail), {_q(chr(10))}, 1)), 1, {SHOWN})"
+    parts = [f"CASE WHEN regexp_like({clean}, {_q(p)}) THEN CAST(transform({_places(clean, p)}, y -> named_struct('rule', {name}, 'kind', 'found', 'line_no', y.line_no, 'col', y.col, 'detail', {shown})) AS {_KIND}) ELSE {none} END" for p in rule.found]
+    missing = f"CAST(array(named_struct('rule', {name}, 'kind', 'missing', 'line_no', 0, 'col', 0, 'detail', '')) AS {_KIND})"
+    parts += [f"CASE WHEN regexp_like({clean}, {_q(p)}) THEN {none} ELSE {missing} END" for p in rule.needed]
+    found = f"concat({', '.join(parts)})"
+    for p in rule.unless:
+        found = f"CASE WHEN NOT regexp_like({clean}, {_q(p)}) THEN {found} END"
     # from the cheapest to the dearest: substrings, the gate, consent; only then comments and patterns
-    applies = F.lit(True)
-    for patterns in ((rule.gate,) if rule.gate else (), () if rule.needed else rule.found):
-        cheap = _may_match(patterns, lowered)
-        applies = applies if cheap is None else applies & cheap
-    if rule.gate:
-        applies = applies & text.rlike(rule.gate)
-    if rule.consent:
-        applies = applies & ~text.rlike(rule.consent)
-    if not rule.comments:
-        return F.when(applies, of(text))
-    # through a lambda's variable, so that comments are removed once
-    clean = F.array(F.regexp_replace(text, rule.comments, ""))
-    return F.when(applies, F.element_at(F.transform(clean, of), 1))
+    applies = [c for c in (_may_match(x) for x in ((rule.gate,) if rule.gate else (), () if rule.needed else rule.found)) if c]
+    applies += [f"regexp_like(_text, {_q(rule.gate)})"] if rule.gate else []
+    applies += [f"NOT regexp_like(_text, {_q(rule.consent)})"] if rule.consent else []
+    if rule.comments:  # through a lambda's variable, so that comments are removed once
+        found = f"element_at(transform(array(regexp_replace(_text, {_q(rule.comments)}, '')), c -> {found}), 1)"
+    return f"CASE WHEN {' AND '.join(applies)} THEN {found} END" if applies else found
 
 
 def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +189,7 @@ def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str
     marked = lowered.contains("-ok")
     source = documents.select(F.col(key), F.when(marked, F.regexp_replace(plain, F.lit(LINE_CONSENT), F.lit(""))).otherwise(plain).alias("_text"), lowered.alias("_low"))
     source = source.where(~((F.col("_low").contains("-ok") | F.col("_low").contains("-allowed")) & F.col("_text").rlike(CONSENT)))
-    every = F.flatten(F.filter(F.array(*(_findings(r, F.col("_text"), F.col("_low")) for r in rules)), lambda x: x.isNotNull()))
+    every = F.expr(f"flatten(filter(array({', '.join(_findings(r) for r in rules)}), z -> z IS NOT NULL))")
     return source.select(F.col(key), F.explode(every).alias("_x")).select(key, "_x.*")
 
 
