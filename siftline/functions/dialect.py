@@ -23,6 +23,7 @@ SPARK = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "explode({0})",
     "ITEMS": "size({0})",
+    "REPEATED": "explode(transform(filter(sequence(1, size({0}) - 1), i -> lower(element_at({0}, i)) = lower(element_at({0}, i + 1))), i -> lower(element_at({0}, i))))",
     "JOINED": "array_join(transform(array_sort(collect_list(struct({0} AS n, {1} AS s))), x -> x.s), '')",
     "LIST": "collect_list({0})",
     "SORTED": "array_sort({0})",
@@ -43,6 +44,7 @@ DUCKDB = {
     "REGEX_ALL": "regexp_extract_all({0}, {1}, {2})",
     "EXPLODE": "unnest({0})",
     "ITEMS": "len({0})",
+    "REPEATED": "unnest(list_transform(list_filter(generate_series(1, len({0}) - 1), lambda i: lower({0}[i]) = lower({0}[i + 1])), lambda i: lower({0}[i])))",
     "JOINED": "string_agg({1}, '' ORDER BY {0})",
     "LIST": "list({0})",
     "SORTED": "list_sort({0})",

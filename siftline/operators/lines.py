@@ -18,10 +18,9 @@ QUERIES["lines_duplicate_words"] = (
     + r""",
 cleaned AS (SELECT doc_id, line_no, REGEX_REPLACE(line, '`[^`]*`', ' ') AS line FROM prose),
 tokens AS (SELECT doc_id, line_no, REGEX_ALL(line, '([A-Za-z]+(?:''[A-Za-z]+)?|[^A-Za-z \t]+)', 1) AS words FROM cleaned),
-places AS (SELECT doc_id, line_no, NEIGHBOURS(words) AS pair FROM tokens WHERE ITEMS(words) > 1),
-pairs AS (SELECT doc_id, line_no, lower(split_part(pair, chr(1), 1)) AS word, lower(split_part(pair, chr(1), 2)) AS following FROM places)
-SELECT doc_id, line_no, word, count(*) AS n FROM pairs
-WHERE word = following AND REGEX_MATCH(word, '^[a-z]') AND word NOT IN ('that', 'is', 'blah', 'yada', 'ha', 'bye', 'had', 'no', 'very')
+repeats AS (SELECT doc_id, line_no, REPEATED(words) AS word FROM tokens WHERE ITEMS(words) > 1)
+SELECT doc_id, line_no, word, count(*) AS n FROM repeats
+WHERE REGEX_MATCH(word, '^[a-z]') AND word NOT IN ('that', 'is', 'blah', 'yada', 'ha', 'bye', 'had', 'no', 'very')
 GROUP BY doc_id, line_no, word"""
 )
 
