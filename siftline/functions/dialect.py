@@ -3,18 +3,33 @@
 Operators over records are written once in the common subset of Spark SQL and
 DuckDB.  The few functions that differ are macros: ``EPOCH(x)``, ``SHA256(x)``,
 ``REGEX_COUNT(x, 'p')``, ``REGEX_REPLACE(x, 'p', 'r')``, ``REGEX_MATCH(x, 'p')``
-and ``{table}`` for a table's name.
+and ``{table}`` for a table's name; ``upper(x)`` is DuckDB's in both.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 
+
+def _capitals() -> dict[str, str]:
+    """The letters that DuckDB's ``upper`` changes, each to one letter; Spark's own writes some as several (ß as SS)."""
+    out = {"ß": "ẞ"}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        one = next((x for x in (c.upper(), c.title()) if len(x) == 1), c)
+        if one != c:
+            out.setdefault(c, one)
+    return out
+
+
+_CAPITALS = _capitals()
+
 SPARK = {
+    "upper": f"translate({{0}}, '{''.join(_CAPITALS)}', '{''.join(_CAPITALS.values())}')",
     "EPOCH": "unix_timestamp({0})",
     "SHA256": "sha2(CAST({0} AS STRING), 256)",
     "REGEX_COUNT": "CAST(regexp_count({0}, {1}) AS BIGINT)",
