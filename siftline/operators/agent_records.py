@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dialect
+from . import span_graphs
 
 #: SQL over tables that gives an input: traces, calls, prompts and streams in the shape that the operators expect.
 INPUTS = {
@@ -85,6 +86,16 @@ SELECT c.trace_id, c.n_spans, c.n_roots, coalesce(o.n_orphans, 0) AS n_orphans,
   CASE WHEN c.n_roots = 0 THEN 'no_root' WHEN c.n_roots > 1 THEN 'multiple_roots' WHEN coalesce(o.n_orphans, 0) > 0 THEN 'orphan_span' WHEN c.n_ids > coalesce(f.n_reached, 0) THEN 'cycle' ELSE 'ok' END AS verdict
 FROM counts c LEFT JOIN orphans o ON c.trace_id = o.trace_id LEFT JOIN found f ON c.trace_id = f.trace_id"""
 
+def _span_graph(spark: SparkSession, spans: DataFrame) -> DataFrame:
+    """The operator's columns from ``span_graphs``: Spark's recursion keeps each path as a row and ends at a million rows."""
+    columns = OPERATORS["span_graph"].rpartition("\nSELECT ")[2].rpartition("\nFROM ")[0]
+    columns = re.sub(r"coalesce\([of]\.(\w+), 0\)", r"c.\1", columns)
+    return dialect.run(spark, "", f"SELECT {columns} FROM {{counted}} c", {"counted": span_graphs.counts(spans)})
+
+
+#: Operators that Spark plans otherwise than by their SQL, with the same rows.
+PLANS = {"span_graph": _span_graph}
+
 # requests that arrive while one of the same key is in flight follow it
 OPERATORS["request_coalescing"] = """
 WITH seen AS (SELECT request_id, k, started, ended, max(ended) OVER (PARTITION BY k ORDER BY started, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM {flights}),
@@ -220,6 +231,8 @@ def inputs_of(sql: str) -> list[str]:
 def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
     """Run an operator on DataFrames that have the columns of its inputs; null keys form groups of their own, repeated
     rows count, no rows in, none out."""
+    if name in PLANS:
+        return PLANS[name](spark, **frames)
     return dialect.run(spark, "", OPERATORS[name], frames)
 
 
