@@ -18,7 +18,7 @@ from __future__ import annotations
 import functools
 import re._constants as sre
 import re._parser as sre_parser
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,8 +157,8 @@ def _places(clean: str, pattern: str) -> str:
     return f"slice(aggregate(split({marked}, {_q(START)}), {begin}, (a, x) -> {step}, a -> a.found), 2, 1073741824)"
 
 
-def _findings(rule: Rule) -> str:
-    """The findings of a rule, as an array; null where it does not apply."""
+def _findings(rule: Rule) -> tuple[list[str], str]:
+    """When a rule applies, and its findings as an array, in a text ``c`` if it removes comments."""
     none, name = f"CAST(array() AS {_KIND})", _q(rule.name)
     clean = "c" if rule.comments else "_text"
     shown = f"substring(trim(BOTH ' ' FROM substring_index(trim(LEADING {_q(' ' + chr(9) + chr(13) + chr(10))} FROM y.detail), {_q(chr(10))}, 1)), 1, {SHOWN})"
@@ -172,9 +172,32 @@ def _findings(rule: Rule) -> str:
     applies = [c for c in (_may_match(x) for x in ((rule.gate,) if rule.gate else (), () if rule.needed else rule.found)) if c]
     applies += [f"regexp_like(_text, {_q(rule.gate)})"] if rule.gate else []
     applies += [f"NOT regexp_like(_text, {_q(rule.consent)})"] if rule.consent else []
-    if rule.comments:  # through a lambda's variable, so that comments are removed once
-        found = f"element_at(transform(array(regexp_replace(_text, {_q(rule.comments)}, '')), c -> {found}), 1)"
-    return f"CASE WHEN {' AND '.join(applies)} THEN {found} END" if applies else found
+    return applies, found
+
+
+def _all_findings(rules: list[Rule]) -> str:
+    """The findings of all rules, as arrays of which some are null: rules that differ in nothing but names are one, and
+    comments are removed once for all that remove the same ones."""
+    alike: dict[Rule, list[str]] = {}
+    for r in rules:
+        alike.setdefault(replace(r, name="", probe="", clean=""), []).append(r.name)
+    by_comments: dict[str | None, list[tuple[list[str], str]]] = {}
+    for r, names in alike.items():
+        applies, found = _findings(replace(r, name=names[0]))
+        if len(names) > 1:
+            each = "named_struct('rule', name, 'kind', z.kind, 'line_no', z.line_no, 'col', z.col, 'detail', z.detail)"
+            found = f"CAST(flatten(transform({found}, z -> transform(array({', '.join(map(_q, names))}), name -> {each}))) AS {_KIND})"
+        by_comments.setdefault(r.comments, []).append((applies, found))
+    out = []
+    for comments, group in by_comments.items():
+        each = [f"CASE WHEN {' AND '.join(applies)} THEN {found} END" if applies else found for applies, found in group]
+        if comments is None:
+            out += each
+            continue
+        # through a lambda's variable, and only where the cheapest condition of one of the rules holds
+        found = f"element_at(transform(array(regexp_replace(_text, {_q(comments)}, '')), c -> flatten(filter(array({', '.join(each)}), z -> z IS NOT NULL))), 1)"
+        out.append(f"CASE WHEN {' OR '.join(applies[0] for applies, _ in group)} THEN {found} END" if all(applies for applies, _ in group) else found)
+    return ", ".join(out)
 
 
 def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +212,7 @@ def scan(rules: list[Rule], documents: DataFrame, key: str = "doc_id", text: str
     marked = lowered.contains("-ok")
     source = documents.select(F.col(key), F.when(marked, F.regexp_replace(plain, F.lit(LINE_CONSENT), F.lit(""))).otherwise(plain).alias("_text"), lowered.alias("_low"))
     source = source.where(~((F.col("_low").contains("-ok") | F.col("_low").contains("-allowed")) & F.col("_text").rlike(CONSENT)))
-    every = F.expr(f"flatten(filter(array({', '.join(_findings(r) for r in rules)}), z -> z IS NOT NULL))")
+    every = F.expr(f"flatten(filter(array({_all_findings(rules)}), z -> z IS NOT NULL))")
     return source.select(F.col(key), F.explode(every).alias("_x")).select(key, "_x.*")
 
 

@@ -4,8 +4,9 @@ from collections import Counter
 
 import duckdb
 
-from siftline.functions.rules import Rule, scan, scan_sql
+from siftline.functions.rules import Rule, _all_findings, scan, scan_sql
 from siftline.plans.registry import ALL_RULES as RULES
+from siftline.plans.registry import RULE_GROUPS
 
 CLEAN = "A plain paragraph about rivers and towns.\nIt has two lines and no settings at all."
 
@@ -70,3 +71,16 @@ def test_consent_gate_comment_and_absence(spark):
 def test_null_and_empty_documents(spark):
     rows = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert scan(RULES[:3], rows).collect() == []
+
+
+def test_alike_rules_are_matched_once(spark):
+    """Rules that differ in names only share their matches, all of one kind of comments share its removal, and each rule
+    finds what it finds alone."""
+    group = RULE_GROUPS["rules_14"]
+    assert _all_findings(group).count("regexp_replace(_text") == len({r.comments for r in group})
+    texts = [r.probe for r in group] + ["eval $x\n# eval $y\n'eval $z'\n; eval `q`", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    together = sorted(map(tuple, scan(group, rows).collect()))
+    assert {x[1] for x in together} == {r.name for r in group}
+    for r in group[::4]:
+        assert [x for x in together if x[1] == r.name] == sorted(map(tuple, scan([r], rows).collect()))
