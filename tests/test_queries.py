@@ -45,3 +45,19 @@ def test_entry_gives_rows(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_long_line_is_read_once(spark):
+    """``no_blank_before`` took the square of a line's length: minutes for this one."""
+    import time
+
+    from siftline.operators import text
+
+    check = next(c for c in text.CHECKS if c.name == "rule_spacing")
+    rows = [(1, "ab " * 200_000), (2, "a\n***\n \t\n___\n x \n***  \n\n***\r\nb\n----\nc\n\x0b\n***\n"), (3, "x" * 300_000 + "\n***"), (4, ""), (5, None)]
+    began = time.time()
+    counts = [r["no_blank_before"] for r in text.apply(check, spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert time.time() - began < 30
+    slow = list(check.counts["no_blank_before"])[0]
+    plain = spark.createDataFrame(rows[1:2], "doc_id long, text string").selectExpr("regexp_count(text, r'" + slow + "') AS n").first()["n"]
+    assert counts == [0, plain, 1, 0, None] and plain > 0
